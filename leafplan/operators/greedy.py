@@ -81,13 +81,20 @@ def distinct_quads(candidates: DataFrame, *, by: str = "image_id", iou: float =
     ``corner`` pixels. Columns: by, candidate_id, score, corners.
     """
 
+    def may_overlap(a, b) -> bool:
+        """False if areas or bounding boxes alone rule the overlap out."""
+        (p, pa, plo, phi), (q, qa, qlo, qhi) = a, b
+        box = np.prod(np.maximum(np.minimum(phi, qhi) - np.maximum(plo, qlo), 0))
+        return min(pa, qa) >= iou * max(pa, qa) and box >= iou * max(pa, qa)
+
     def fn(key, rows):
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         for candidate, score, corners in rows:
             q = np.array([(p["x"], p["y"]) for p in corners], float)
-            near = len(held) >= keep or any(np.hypot(*(q - h).T).max() <= corner or convex_iou(q, h) >= iou for h in held)
+            mine = (q, polygon_area(q), q.min(axis=0), q.max(axis=0))
+            near = len(held) >= keep or any(np.hypot(*(q - h[0]).T).max() <= corner or (may_overlap(mine, h) and convex_iou(q, h[0]) >= iou) for h in held)
             if not near:
-                held.append(q)
+                held.append(mine)
             yield key, candidate, score, not near
 
     return _grouped(candidates.select(by, "candidate_id", "score", "corners"), [F.desc("score"), "candidate_id"], fn, f"{by} long, candidate_id long, score double, kept boolean")
