@@ -136,4 +136,39 @@ SELECT page_id, host, path, won.n AS rule, CASE WHEN won IS NULL THEN kind END A
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_poisson_mix": _OP1, "op8_url_rules": _OP8}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS ws FROM d),
+w AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split),
+pos AS (SELECT r, w, i, lag(w) OVER x AS before, w || ' ' || lead(w) OVER x || ' ' || lead(w, 2) OVER x || ' ' || lead(w, 3) OVER x || ' ' || lead(w, 4) OVER x AS g FROM w WINDOW x AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM pos WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(5) t(k) GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM line WHERE regexp_matches(line, '{_WORD}') GROUP BY r),
+words AS (SELECT r, count(*) AS n, sum(length(w))::BIGINT AS chars, count(*) FILTER (WHERE w = before) AS stutter, count(*) FILTER (WHERE NOT regexp_matches(w, '\p{{L}}')) AS wordless,
+  count(*) FILTER (WHERE length(w) > 1 AND regexp_matches(w, '\p{{Lu}}') AND NOT regexp_matches(w, '[\p{{Ll}}\p{{Lt}}]')) AS upper FROM pos GROUP BY r),
+base AS (SELECT d.doc_id, coalesce(words.n, 0) AS n_words, coalesce(chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  length(regexp_replace(text, '[^!]', '', 'g')) AS bangs, coalesce(lines.n, 0) AS n_lines, coalesce(stutter, 0) AS stutter, coalesce(wordless, 0) AS wordless, coalesce(upper, 0) AS upper
+  FROM d LEFT JOIN words USING (r) LEFT JOIN covered USING (r) LEFT JOIN lines USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR n_symbols > 0.1 * n_words OR bangs > 0.1 * n_words OR upper > 0.3 * n_words OR n_dup_lines > 0.5 * n_lines OR stutter > 0.3 * n_words
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR wordless > 0.7 * n_words) AS kept FROM base
+"""
+
+# All pairs that share a shingle: fit for small tables only.
+_OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g FROM places),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 80 * (nx.c + ny.c - i)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.y FROM reach JOIN links ON links.x = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(c, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_poisson_mix": _OP1, "op2_rule_cascade": _OP2, "op6_minhash_dedup": _OP6, "op8_url_rules": _OP8}
