@@ -36,7 +36,7 @@ SCALE_BITS, LOW_BITS = 20, 31
 BLOCK_IDS, FILE_IDS = 1 << 18, 1 << 23
 MOST_LANES = 2048
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 450_000
 BATCH_CHARS = 4_000_000
 
 
@@ -206,8 +206,12 @@ class WordTokenizer:
         known.update((w, older[w]) for w in asked if w in older)
         new = [w for w in asked if w not in older]
         for a in range(0, len(new), 20_000):
+            # One call for many words: the library gives the word of each id.
             part = new[a : a + 20_000]
-            known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)))
+            found = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, np.uint32).tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4
+            known.update(zip(part, map(raw.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))))
         tail = np.array([end], np.uint32).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + tail, np.uint32) for ws in split]
 
