@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafplan.functions import geometry as G
 from leafplan.functions import strings as S
+from leafplan.operators import detection as D
 from leafplan.operators import evaluation as EV
 from leafplan.operators import events as E
 from leafplan.operators import greedy as GR
@@ -635,3 +636,66 @@ def event_problems(events):
     fields = F.struct(F.when(k == 1, 2).otherwise(1).alias("protocolVersion"), F.when(k == 3, "mystery").otherwise(F.col("type")).alias("type"), F.when(k == 2, "soon").otherwise("2024-01-05T10:00:00Z").alias("timestamp"), "relativePath", "filesToProcess", F.when(k == 4, 10).otherwise(9).alias("new"), F.lit(0).alias("modified"))
     lines = events.select(F.when(k == 0, "{broken").otherwise(F.to_json(fields)).alias("value"))
     return E.decoded(lines).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- detection -----------------------------------------------------------------
+
+
+@query("v_candidates", sql="""WITH s AS (SELECT image_id, candidate_id, CAST(enclosed_length % 32 AS INT) AS columns, CASE WHEN enclosed_ridges = 2 THEN 0.005 ELSE 0.05 END AS ink FROM v_candidates),
+ f AS (SELECT *, CASE WHEN columns <= 0 THEN 0 ELSE greatest(0, 1 - abs(columns - 21) / 21.0 * 1.5) END AS a, CASE WHEN columns <= 0 THEN 0 ELSE greatest(0, 1 - abs(columns - 10) / 10.0 * 1.5) END AS b FROM s),
+ k AS (SELECT *, CASE WHEN ink < 0.01 OR greatest(a, b) < 0.68 OR abs(a - b) < 0.15 THEN 'UNKNOWN' WHEN a >= b THEN 'FIRST_HALF' ELSE 'SECOND_HALF' END AS page_type FROM f)
+ SELECT image_id, candidate_id, page_type, CASE page_type WHEN 'FIRST_HALF' THEN 1 WHEN 'SECOND_HALF' THEN 2 END AS page_order, round(greatest(a, b), 6) AS confidence FROM k""")
+def page_kinds(candidates):
+    rows = candidates.select("image_id", "candidate_id", (F.col("enclosed_length") % 32).cast("int").alias("columns"), F.when(F.col("enclosed_ridges") == 2, 0.005).otherwise(0.05).alias("ink_ratio"))
+    return D.page_kinds(rows, min_ink=0.01, min_confidence=0.68, min_margin=0.15).select("image_id", "candidate_id", "page_type", "page_order", *r6("confidence"))
+
+
+@query("v_candidates", sql="""WITH s AS (SELECT image_id, candidate_id, CASE candidate_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 2 THEN 'ambiguous' ELSE 'not_configured' END AS state, CASE enclosed_ridges WHEN 0 THEN 'selected' WHEN 1 THEN 'ambiguous' ELSE 'below_threshold' END AS status,
+  CASE WHEN enclosed_ridges = 0 THEN source END AS source, CASE WHEN has_overlap THEN enclosed_ridges + 1 END AS ridges FROM v_candidates)
+ SELECT image_id, candidate_id, CASE WHEN status = 'ambiguous' THEN 'ambiguous' WHEN source IS NULL AND status = 'below_threshold' THEN 'below_threshold' WHEN source IS NULL THEN 'no_candidate' WHEN state IN ('failed', 'not_configured') THEN 'cv_fallback' WHEN source = 'mixed' THEN 'agreement' WHEN source = 'mask_fit' THEN 'segmentation_first' ELSE 'disagreement' END AS decision_path,
+ concat_ws(',', CASE WHEN state <> 'ok' THEN 'SEGMENTATION_FALLBACK' END, CASE WHEN state IN ('failed', 'not_configured') THEN 'SEGMENTATION_LOW_CONFIDENCE' END, CASE WHEN status = 'ambiguous' THEN 'DETECTION_AMBIGUOUS' END, CASE WHEN ridges > 0 THEN 'OCCLUSION_RISK' END) AS warnings FROM s""")
+def decision_paths(candidates):
+    k = F.col("candidate_id") % 4
+    state = F.when(k == 0, "ok").when(k == 1, "failed").when(k == 2, "ambiguous").otherwise("not_configured")
+    ridges = F.col("enclosed_ridges")
+    rows = candidates.select("image_id", "candidate_id", state.alias("state"), F.when(ridges == 0, "selected").when(ridges == 1, "ambiguous").otherwise("below_threshold").alias("status"), F.when(ridges == 0, F.col("source")).alias("source"), F.when(F.col("has_overlap"), ridges + 1).alias("ridges"))
+    c = F.col
+    return rows.select("image_id", "candidate_id", D.decision_path(c("state"), c("status"), c("source")).alias("decision_path"), F.array_join(D.detection_warnings(c("state"), c("status"), c("ridges")), ",").alias("warnings"))
+
+
+@query("v_pages", sql="""WITH g AS (SELECT group_key, count(*) AS n FROM v_pages GROUP BY 1), p AS (SELECT *, group_key % 3 = 0 AS review, group_key % 4 < 2 AS given FROM g WHERE group_key % 7 <> 1)
+ SELECT group_key, CASE WHEN review AND NOT given THEN 'order_required' ELSE 'order_mismatch' END AS problem FROM p WHERE (review AND NOT given) OR (given AND group_key % 4 = 1)""")
+def order_gate(pages):
+    k = F.col("group_key")
+    plan = pages.groupBy("group_key").agg(F.array_sort(F.collect_list("relative_path")).alias("source_paths")).withColumn("review_required", k % 3 == 0)
+    orders = plan.where("group_key % 4 < 2").select("group_key", F.when(k % 4 == 1, F.array_append("source_paths", F.lit("other"))).otherwise(F.reverse("source_paths")).alias("manual_order"))
+    return D.order_gate(plan, orders, plan.where("group_key % 7 = 1").select("group_key"))
+
+
+@query("v_pool", sql="""WITH k AS (SELECT 'status' AS kind, CASE WHEN doc_id % 3 = 0 THEN 'open' ELSE 'annotated' END AS value FROM v_pool UNION ALL SELECT 'split', lang FROM v_pool UNION ALL SELECT 'tag', source FROM v_pool UNION ALL SELECT 'mask', 'yes' FROM v_pool WHERE doc_id % 4 = 0 UNION ALL SELECT 'visible', 'yes' FROM v_pool WHERE doc_id % 5 <> 0) SELECT kind, value, count(*) AS n FROM k GROUP BY 1, 2""")
+def annotation_summary(pool):
+    k = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    return D.annotation_summary(pool.select(F.when(k % 3 == 0, "open").otherwise("annotated").alias("status"), F.col("lang").alias("split"), F.array("source").alias("scenario_tags"), none.alias("document_polygon"), F.when(k % 4 == 0, "m").alias("mask_path"), (k % 5 != 0).alias("document_visible")))
+
+
+@query("v_truth", "v_segments", sql=_SEG.replace("FROM v_segments", "FROM v_segments WHERE image_id < 500") + f""", e AS ({" UNION ALL ".join(f"SELECT sample_id AS image_id, {i} AS edge, corners[{i + 1}].x AS px, corners[{i + 1}].y AS py, corners[{(i + 1) % 4 + 1}].x AS qx, corners[{(i + 1) % 4 + 1}].y AS qy FROM v_truth" for i in range(4))}),
+ d AS (SELECT *, (degrees(atan2(qy - py, qx - px)) + 360) % 180 AS edge_angle FROM e)
+ SELECT image_id, edge, segment_id FROM d JOIN s USING (image_id) WHERE least(abs(angle - edge_angle), 180 - abs(angle - edge_angle)) <= 20 AND sqrt(((x1 + x2) / 2 - (px + qx) / 2) ** 2 + ((y1 + y2) / 2 - (py + qy) / 2) ** 2) <= 250""")
+def edge_segments(truth, segments):
+    quads = truth.select(F.col("sample_id").alias("image_id"), "corners")
+    return D.segments_by_edge(quads, _segments(segments.where("image_id < 500")), distance=250, angle=20).select("image_id", "edge", "segment_id")
+
+
+@query("v_truth", "v_segments")
+def enclosed_ridges(truth, segments):
+    quads = truth.select(F.col("sample_id").alias("image_id"), F.lit(1).alias("candidate_id"), "corners")
+    return D.ridges_within(quads, segments.select("image_id", F.col("segment_id").alias("ridge_id"), "x1", "y1", "x2", "y2"), part=0.3)
+
+
+@query("v_files", sql="""WITH w AS (SELECT relative_path AS path, lang_name AS name, row_number() OVER (PARTITION BY lang_name ORDER BY relative_path) AS rn FROM (SELECT *, split_part(file_name, '-', 1) || '.pdf' AS lang_name FROM v_files))
+ SELECT path, name, CASE WHEN name = 'en.pdf' THEN CASE WHEN rn = 1 THEN 'en_1.pdf' ELSE 'en_' || (rn + 1) || '.pdf' END WHEN rn = 1 THEN name ELSE replace(name, '.pdf', '') || '_' || (rn - 1) || '.pdf' END AS free_name FROM w""")
+def first_free_names(files):
+    wanted = files.select(F.col("relative_path").alias("path"), F.concat(F.split_part("file_name", F.lit("-"), F.lit(1)), F.lit(".pdf")).alias("name"))
+    taken = files.sparkSession.createDataFrame([("en.pdf",), ("en_2.pdf",)], "name string")
+    return D.first_free_names(wanted, taken)
