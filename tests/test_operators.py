@@ -261,3 +261,37 @@ def test_commit_rolls_back(tmp_path):
     commit_files({str(old): str(new)}, lambda: None)
     assert old.read_bytes() == b"new" and len(list(tmp_path.iterdir())) == 1
     assert free_name("a.pdf", {"a.pdf", "a_1.pdf"}) == "a_2.pdf"
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from leafplan.sources import reports as Q
+
+    corners = [[10, 10], [90, 10], [90, 90], [10, 90]]
+    sample = {"sample_id": "s1", "image_path": "a.jpg", "dataset": "d", "split": "tune", "width": 100, "height": 100, "tl": corners[0], "tr": corners[1], "br": corners[2], "bl": corners[3], "document_visible": True, "scenario_tags": []}
+    (tmp_path / "truth.json").write_text(json.dumps({"schema_version": "1.0", "coordinate_space": "exif_normalized_pixels", "split_policy": "sequence_group", "samples": [sample]}))
+    prediction = {"sample_id": "s1", "detected": True, "raw_corners": corners, "corners": corners, "timings_ms": {"detect": 3.0}}
+    (tmp_path / "bare.json").write_text(json.dumps([prediction]))
+    (tmp_path / "bundle.json").write_text(json.dumps({"detector": "hybrid", "predictions": [prediction]}))
+    truth = Q.truth_manifests(spark, str(tmp_path / "truth.json"))
+    with pytest.raises(ValueError):
+        Q.truth_manifests(spark, str(tmp_path / "truth.json"), str(tmp_path / "truth.json"))
+    for name in ("bare.json", "bundle.json"):
+        m = EV.metrics(EV.score_samples(truth, Q.prediction_bundle(spark, str(tmp_path / name))))
+        found = Q.report(m, EV.gate(m), detector="hybrid", manifest_sha256="0" * 64)
+        assert found["metrics"]["mean_iou"] == pytest.approx(1) and all(c["passed"] for c in found["threshold_gate"]["checks"].values())
+    Q.write_text(str(tmp_path / "r.json"), Q.canonical_json(found))
+    assert json.loads((tmp_path / "r.json").read_text()) == found and "| mean_iou | 1.0000 |" in Q.markdown(found)
+
+
+def test_order_gate_and_free_names(spark):
+    from leafplan.operators import detection as D
+
+    plan = spark.createDataFrame([("a", ["1", "2"], True), ("b", ["3", "4"], True), ("c", ["5"], False), ("d", ["6"], True)], "group_key string, source_paths array<string>, review_required boolean")
+    orders = spark.createDataFrame([("a", ["2", "1"]), ("c", ["5", "5"])], "group_key string, manual_order array<string>")
+    got = {r.group_key: r.problem for r in D.order_gate(plan, orders, spark.createDataFrame([("d",)], "group_key string")).collect()}
+    assert got == {"b": "order_required", "c": "order_mismatch"}
+    wanted = spark.createDataFrame([("p1", "x.pdf"), ("p2", "x.pdf"), ("p3", "y.pdf")], "path string, name string")
+    taken = spark.createDataFrame([("x.pdf",), ("x_2.pdf",)], "name string")
+    assert {r.path: r.free_name for r in D.first_free_names(wanted, taken).collect()} == {"p1": "x_1.pdf", "p2": "x_3.pdf", "p3": "y.pdf"}
