@@ -12,9 +12,11 @@ linked if 100 * intersection >= 80 * union.
 3. Pairs pass a check of part of the signature, then of the full sets.
 4. Links become components by alternating large-star and small-star.
 5. A bucket whose nodes are still in several components may hide links between
-   nodes that aren't its hub. Such buckets are searched in full, in blocks of
-   bounded size, comparing signatures and then full sets, and give only links
-   that join components. With these the components are made again.
+   nodes that aren't its hub. In such buckets, the nodes outside the least
+   component are paired with a random node of it, and the components made again.
+6. What is then still open is searched in full, in blocks of bounded size,
+   comparing signatures and then full sets, and gives only links that join
+   components. With these the components are made a last time.
 
 The pairs of a hub with many nodes are dealt to several tasks, each with a copy
 of the hub. With 48 bands of 7, a pair at the threshold shares no bucket with
@@ -24,7 +26,6 @@ probability (1 - 0.8^7)^48, about 1 in 80 000, and pairs above it far less.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ from .common import append_columns, quoted, stored
 BANDS, ROWS = 48, 7
 #: Minima (8 bits each) that the signature check compares, and the agreement that it asks for:
 #: five standard deviations below a similarity of 0.8.
-SIGNATURE, AGREEMENT = 128, 0.62
+SIGNATURE, AGREEMENT = 256, 0.675
 #: Similarity in hundredths.
 THRESHOLD = 80
 #: Nodes that one task compares with a hub, and nodes in a block of the search in full.
@@ -158,7 +159,8 @@ def _passing(pairs: DataFrame, payload: DataFrame, prepare, test) -> DataFrame:
     shares = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).cast("int").alias("shares"))
     dealt = pairs.join(shares, "hub").select("hub", F.col("node").alias("rid"), F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), F.lit(1).alias("turn"))
     hubs = shares.select("hub", F.col("hub").alias("rid"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("turn"))
-    rows = dealt.unionByName(hubs).join(payload, "rid").select("hub", "share", "turn", "rid", "load")
+    # One plan at every size: a small table of pairs would be broadcast, a large one can't be.
+    rows = dealt.unionByName(hubs).join(payload.hint("merge"), "rid").select("hub", "share", "turn", "rid", "load")
     rows = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", "turn")
 
     def run(batches):
@@ -184,89 +186,105 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return _passing(likely, rows.select("rid", F.col("body").alias("load")), _set_of, linked)
 
 
+def _second_hubs(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs (hub, node) for buckets (key, node) whose nodes are in several components.
+
+    The hub is a node of the least component, another one in each bucket, and
+    its pairs are the nodes of other components: most of those that the first
+    hub is too far from are near one of these.
+    """
+    placed = buckets.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    hubs = placed.groupBy("key").agg(F.min(F.struct("component", F.xxhash64("node", "key").alias("draw"), "node")).alias("least"), F.max("component").alias("high")).where("least.component < high")
+    hubs = hubs.select("key", F.col("least.component").alias("low"), F.col("least.node").alias("hub"))
+    return placed.join(hubs, "key").where("component <> low").select("hub", "node").distinct()
+
+
 def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links between different components within ``buckets`` (key, node): enough to join what belongs together."""
+    """Links between different components within ``buckets`` (key, node): enough to join what belongs together.
+
+    Two nodes are compared in the first bucket that they share and in no other.
+    """
     placed = buckets.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("low < high")
-    # Buckets of the same nodes need one search.
-    once = open_.groupBy("n", "mark").agg(F.min("key").alias("key"))
-    chosen = placed.join(once.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    chosen = placed.join(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
     # Block i meets each block j: a node goes to as many searches as its bucket has blocks.
     mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     spread = chosen.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component")
-    spread = spread.join(rows.select(F.col("rid").alias("node"), "sig"), "node")
+    order = ["key", "i", "j"]
+    given = spread.join(rows.select(F.col("rid").alias("node"), "sig", "bands").hint("merge"), "node").select(*order, "node", "component", "sig", "bands")
 
-    def grouped(batches, finish):
+    def searches(batches, width: int):
+        """Each search's key and its rows; of the rows, nodes and components as lists, signatures and bands as matrices."""
         key, held = None, []
+
+        def done():
+            sigs = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
+            return key, [h[0] for h in held], np.array([h[1] for h in held]), sigs, np.array([h[3] for h in held]), [h[4] for h in held] if width > 4 else None
+
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[:3] != key:
                     if held:
-                        yield from finish(key, held)
+                        yield done()
                     key, held = row[:3], []
                 held.append(row[3:])
         if held:
-            yield from finish(key, held)
+            yield done()
+
+    def resembling(key, a, sigs, bands):
+        """Later rows that resemble row ``a`` and share no bucket with it before this one."""
+        like = np.flatnonzero((sigs[a + 1 :] == sigs[a]).mean(axis=1) >= AGREEMENT) + a + 1
+        if len(like):
+            like = like[bands[a][(bands[like] == bands[a]).argmax(axis=1)] == key[0]]
+        return like
 
     def near(batches):
         """Nodes that resemble a node of another component, for each search."""
         import pyarrow as pa
 
-        def finish(key, held):
-            if len({c for _, c, _ in held}) < 2:
-                return
-            sigs = np.frombuffer(b"".join(s for _, _, s in held), np.uint8).reshape(len(held), -1)
-            component = np.array([c for _, c, _ in held])
-            hit = np.zeros(len(held), bool)
-            for a in range(len(held)):
-                if not hit[a] or a == 0:
-                    like = ((sigs == sigs[a]).mean(axis=1) >= AGREEMENT) & (component != component[a])
-                    hit |= like
-                    hit[a] |= like.any()
-            for k in np.flatnonzero(hit).tolist():
-                yield (*key, held[k][0], held[k][1])
-
-        found = []
-        for row in grouped(batches, finish):
-            found.append(row)
-            if len(found) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["key", "i", "j", "node", "component"])
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["key", "i", "j", "node", "component"])
+        for key, nodes, component, sigs, bands, _ in searches(batches, 4):
+            hit = np.zeros(len(nodes), bool)
+            for a in range(len(nodes)):
+                like = resembling(key, a, sigs, bands)
+                like = like[component[like] != component[a]]
+                hit[like] = True
+                hit[a] |= len(like) > 0
+            at = np.flatnonzero(hit)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int64()) for k in key] + [pa.array(np.array(nodes)[at]), pa.array(component[at])], names=[*order, "node", "component"])
 
-    order = ["key", "i", "j"]
-    ranked = spread.select(*order, "node", "component", "sig").repartition(*order).sortWithinPartitions(*order, "node")
-    close = stored(ranked.mapInArrow(near, "key long, i long, j long, node long, component long"), "close")
-    bodies = close.join(rows.select(F.col("rid").alias("node"), "sig", "body"), "node").select(*order, "node", "component", "sig", "body")
+    close = stored(given.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(near, "key long, i long, j long, node long, component long"), "close")
+    bodies = close.join(rows.select(F.col("rid").alias("node"), "sig", "bands", "body").hint("merge"), "node").select(*order, "node", "component", "sig", "bands", "body")
 
     def confirm(batches):
         import pyarrow as pa
 
         unpack = _set_of()
-
-        def finish(key, held):
-            root = {c: c for _, c, _, _ in held}
+        for key, nodes, component, sigs, bands, loads in searches(batches, 5):
+            root = {c: c for c in component.tolist()}
 
             def top(c):
                 while root[c] != c:
                     c = root[c]
                 return c
 
-            sigs = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(len(held), -1)
             sets: dict[int, np.ndarray] = {}
-            one = lambda k: sets[k] if k in sets else sets.setdefault(k, unpack(held[k][3]))
-            for a in range(len(held)):
-                for b in np.flatnonzero((sigs[a + 1 :] == sigs[a]).mean(axis=1) >= AGREEMENT) + a + 1:
-                    x, y = top(held[a][1]), top(held[b][1])
-                    if x != y and linked(one(a), one(int(b))):
-                        root[max(x, y)] = min(x, y)
-                        yield held[a][0], held[b][0]
 
-        found = list(zip(*grouped(batches, finish)))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["hub", "node"])
+            def one(k):
+                if k not in sets:
+                    sets[k] = unpack(loads[k])
+                return sets[k]
+
+            found = []
+            for a in range(len(nodes)):
+                for b in resembling(key, a, sigs, bands).tolist():
+                    x, y = top(int(component[a])), top(int(component[b]))
+                    if x != y and linked(one(a), one(b)):
+                        root[max(x, y)] = min(x, y)
+                        found.append((nodes[a], nodes[b]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["hub", "node"])
 
     return bodies.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(confirm, "hub long, node long")
 
@@ -316,12 +334,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     buckets = stored(keys.join(hubs, "key").select("key", "node", "hub"), "buckets")
-    loads = rows.select("rid", "sig", "body")
+    loads = rows.select("rid", "sig", "bands", "body")
     pairs = stored(buckets.where("node <> hub").select("hub", "node").distinct(), "pairs")
     links = stored(_confirmed(pairs, loads), "links")
     first = stored(connected_components(links), "components")
-    hidden = stored(_hidden_links(buckets.select("key", "node"), first, loads), "hidden")
-    last = first if hidden.isEmpty() else stored(connected_components(links.unionByName(hidden)), "components")
+    second = stored(_second_hubs(buckets.select("key", "node"), first), "pairs")
+    links = links.unionByName(stored(_confirmed(second, loads), "links"))
+    then = stored(connected_components(links), "components")
+    hidden = stored(_hidden_links(buckets.select("key", "node"), then, loads), "hidden")
+    last = then if hidden.isEmpty() else stored(connected_components(links.unionByName(hidden)), "components")
 
     of_node = nodes.select("fp", F.col("rid").alias("node")).join(last, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     # A row without words is a component of its own; ids of rows and of nodes are the same.
