@@ -40,8 +40,8 @@ SIGNATURE, AGREEMENT = 256, 0.675
 #: Similarity in hundredths.
 THRESHOLD = 80
 #: Nodes that one task compares with a hub, and nodes in a block of the search in full.
-HUB_SHARE, BLOCK = 2_000, 500
-REMEMBERED_WORDS = 500_000
+HUB_SHARE, BLOCK = 2_000, 4_000
+REMEMBERED_WORDS = 250_000
 
 _M48 = np.uint64((1 << 48) - 1)
 
@@ -232,12 +232,16 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) ->
         if held:
             yield done()
 
-    def resembling(key, a, sigs, bands):
-        """Later rows that resemble row ``a`` and share no bucket with it before this one."""
-        like = np.flatnonzero((sigs[a + 1 :] == sigs[a]).mean(axis=1) >= AGREEMENT) + a + 1
-        if len(like):
-            like = like[bands[a][(bands[like] == bands[a]).argmax(axis=1)] == key[0]]
-        return like
+    def outside(component):
+        """Rows that aren't in the largest component: one of any two rows of different ones is."""
+        names, counts = np.unique(component, return_counts=True)
+        return np.flatnonzero(component != names[counts.argmax()]).tolist()
+
+    def resembling(key, a, component, sigs, bands):
+        """Rows of other components that resemble row ``a`` and share no bucket with it before this one."""
+        others = np.flatnonzero(component != component[a])
+        like = others[(sigs[others] == sigs[a]).mean(axis=1) >= AGREEMENT]
+        return like[bands[a][(bands[like] == bands[a]).argmax(axis=1)] == key[0]] if len(like) else like
 
     def near(batches):
         """Nodes that resemble a node of another component, for each search."""
@@ -245,9 +249,8 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) ->
 
         for key, nodes, component, sigs, bands, _ in searches(batches, 4):
             hit = np.zeros(len(nodes), bool)
-            for a in range(len(nodes)):
-                like = resembling(key, a, sigs, bands)
-                like = like[component[like] != component[a]]
+            for a in outside(component):
+                like = resembling(key, a, component, sigs, bands)
                 hit[like] = True
                 hit[a] |= len(like) > 0
             at = np.flatnonzero(hit)
@@ -277,8 +280,8 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) ->
                 return sets[k]
 
             found = []
-            for a in range(len(nodes)):
-                for b in resembling(key, a, sigs, bands).tolist():
+            for a in outside(component):
+                for b in resembling(key, a, component, sigs, bands).tolist():
                     x, y = top(int(component[a])), top(int(component[b]))
                     if x != y and linked(one(a), one(b)):
                         root[max(x, y)] = min(x, y)
