@@ -25,8 +25,9 @@ from .common import append_columns, pieces_of
 MARK = "▁"
 #: The rank of what is no piece.
 NEVER = (float("inf"), 0)
-#: Characters of text that are indexed together.
-BATCH_CHARS = 4_000_000
+#: Characters of text that are encoded together, and new units of them that are indexed together:
+#: an index takes about a hundred times the bytes of its units.
+BATCH_CHARS, INDEXED_UNITS = 2_000_000, 40_000
 #: Units whose ids a worker remembers, in each of two generations, before the older one goes.
 REMEMBERED_UNITS = 300_000
 #: Pairs of pieces whose verdict a worker remembers, as a power of 2.
@@ -258,8 +259,8 @@ class PieceModel:
         asked = set().union(*split).difference(known)
         known.update((u, older[u]) for u in asked if u in older)
         missing = [u for u in asked if u not in older]
-        if missing:
-            known.update(zip(missing, self._segment(missing)))
+        for a in range(0, len(missing), INDEXED_UNITS):
+            known.update(zip(missing[a : a + INDEXED_UNITS], self._segment(missing[a : a + INDEXED_UNITS])))
         return [np.frombuffer(b"".join(map(known.__getitem__, us)), np.int32) for us in split]
 
     def decode(self, ids: Iterable[int]) -> str:
