@@ -89,6 +89,12 @@ def quad_is_convex(p: Column) -> Column:
     return every([v > 1e-6 for v in values]) | every([v < -1e-6 for v in values])
 
 
+def quad_turns_one_way(p: Column) -> Column:
+    """Whether all four turns are to one side: convex, with no tolerance and no straight corner."""
+    values = quad_crosses(p)
+    return every([v > 0 for v in values]) | every([v < 0 for v in values])
+
+
 def corner_order(p: Column) -> Column:
     """Indexes of top left, top right, bottom right and bottom left; the lowest index of equals."""
     sums = [F.struct((corner(p, i)[0] + corner(p, i)[1]).alias("k"), F.lit(i).alias("i")) for i in QUAD]
@@ -173,6 +179,14 @@ def quad_crosses_itself(p: Column) -> Column:
     return segments_cross(c[0], c[1], c[2], c[3]) | segments_cross(c[1], c[2], c[3], c[0])
 
 
+def quad_touches_itself(p: Column, tolerance: float = 1e-7) -> Column:
+    """Whether opposite edges cross or touch; ends within ``tolerance`` of a line count as on it."""
+    side = lambda a, b, c: F.when(F.abs(cross(a, b, c)) < tolerance, 0).otherwise(F.signum(cross(a, b, c)))
+    c = [corner(p, i) for i in QUAD]
+    apart = lambda a, b, d, e: (side(a, b, d) != side(a, b, e)) & (side(d, e, a) != side(d, e, b))
+    return apart(c[0], c[1], c[2], c[3]) | apart(c[1], c[2], c[3], c[0])
+
+
 def raw_findings(p: Column, width: Column, height: Column, tolerance: float = 2.0) -> list[tuple[str, Column]]:
     """What is wrong with the corners of a quadrilateral as they were given, by reason."""
     raw = [corner(p, i) for i in QUAD]
@@ -263,3 +277,32 @@ def downscale(width: Column, height: Column, longest: Column) -> tuple[Column, C
     """Size with its longer side at most ``longest``; never larger than it was."""
     scale = F.least(F.lit(1.0), longest / F.greatest(width, height))
     return F.greatest(F.lit(1), F.bround(width * scale).cast("int")), F.greatest(F.lit(1), F.bround(height * scale).cast("int"))
+
+
+def extended_segment(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, most: float = 3.0) -> Column:
+    """The segment drawn out to the image borders, by at most ``most`` of its lengths at each end.
+
+    A struct of ``x1, y1, x2, y2, length``; the segment itself if its line doesn't
+    meet two borders, null if it has no length.
+    """
+    length = F.hypot(x2 - x1, y2 - y1)
+    ux, uy = (x2 - x1) / length, (y2 - y1) / length
+
+    def ways(at: Column, step: Column, other: Column, other_step: Column, end: Column, other_end: Column) -> list[Column]:
+        """How far along the line two parallel borders are; null where it misses them."""
+        out = []
+        for border in (F.lit(0.0), end):
+            t = F.when(F.abs(step) > 1e-9, (border - at) / step)
+            out.append(F.when((other + t * other_step).between(-1e-6, other_end + 1e-6), t))
+        return out
+
+    met = F.array_compact(F.array(*ways(x1, ux, y1, uy, width - 1.0, height - 1.0), *ways(y1, uy, x1, ux, height - 1.0, width - 1.0)))
+    two = F.size(met) >= 2
+    low = F.when(two, F.greatest(F.array_min(met), -most * length)).otherwise(F.lit(0.0))
+    high = F.when(two, F.least(F.array_max(met), (1 + most) * length)).otherwise(length)
+    return F.when(length > 1e-9, F.struct((x1 + low * ux).alias("x1"), (y1 + low * uy).alias("y1"), (x1 + high * ux).alias("x2"), (y1 + high * uy).alias("y2"), (high - low).alias("length")))
+
+
+def unletterboxed(points: Column, pad_x: Column, pad_y: Column, scale_x: Column, scale_y: Column) -> Column:
+    """Points of a model's input, padded and scaled, as points of the source image."""
+    return F.transform(points, lambda q: point((q["x"] - pad_x) / scale_x, (q["y"] - pad_y) / scale_y))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafplan.functions import geometry as G
@@ -16,6 +17,8 @@ from leafplan.operators import greedy as GR
 from leafplan.operators import inventory as I
 from leafplan.operators import planning as P
 from leafplan.operators import ranking as R
+from leafplan.operators import records as RC
+from leafplan.operators import validity as VA
 
 from .surrogates import frame, with_views
 
@@ -699,3 +702,58 @@ def first_free_names(files):
     wanted = files.select(F.col("relative_path").alias("path"), F.concat(F.split_part("file_name", F.lit("-"), F.lit(1)), F.lit(".pdf")).alias("name"))
     taken = files.sparkSession.createDataFrame([("en.pdf",), ("en_2.pdf",)], "name string")
     return D.first_free_names(wanted, taken)
+
+
+# -- validity and records --------------------------------------------------------
+
+_SIDE = lambda i, j: f"sqrt(({_Q[j]}.x - {_Q[i]}.x) ** 2 + ({_Q[j]}.y - {_Q[i]}.y) ** 2)"
+_ANGLE = lambda i: f"degrees(acos(greatest(-1, least(1, (({_Q[i - 1]}.x - {_Q[i]}.x) * ({_Q[(i + 1) % 4]}.x - {_Q[i]}.x) + ({_Q[i - 1]}.y - {_Q[i]}.y) * ({_Q[(i + 1) % 4]}.y - {_Q[i]}.y)) / ({_SIDE(i, i - 1)} * {_SIDE(i, (i + 1) % 4)})))))"
+_WHOLE = lambda i: _CR(i).replace(".x", ".wx").replace(".y", ".wy")
+_ONE_WAY = lambda f: "(" + " OR ".join("(" + " AND ".join(f"{f(i)} {op} 0" for i in range(4)) + ")" for op in "><") + ")"
+_SHAPES = f"""WITH w AS (SELECT quad_id, width, height, list_transform(corners, lambda c: struct_pack(x := c.x, y := c.y, wx := trunc(c.x), wy := trunc(c.y))) AS corners FROM v_quads),
+ m AS (SELECT quad_id, width, height, {_AREA("corners")} / (width * height) AS share, {", ".join(f"{_SIDE(i, (i + 1) % 4)} AS s{i}, {_ANGLE(i)} AS a{i}" for i in range(4))}, {_ONE_WAY(_WHOLE)} AS whole, {_ONE_WAY(_CR)} AS convex,
+  least({", ".join(f"{q}.x, {q}.y" for q in _Q)}) AS low, least({", ".join(f"1000 - {q}.x, 800 - {q}.y" for q in _Q)}) AS room FROM w),
+ k AS (SELECT *, (least(s0, s2) / greatest(s0, s2) + least(s1, s3) / greatest(s1, s3)) / 2 AS symmetry, greatest(0, 1 - ({" + ".join(f"abs(a{i} - 90)" for i in range(4))}) / 180) AS square, least(s0, s1, s2, s3) < 40 AS short, least(a0, a1, a2, a3) < 15 OR greatest(a0, a1, a2, a3) > 165 AS sharp FROM m)"""
+
+
+@query("v_quads", sql=_SHAPES + """, r AS (SELECT *, CASE WHEN NOT whole THEN 'non_convex' WHEN share < 0.01 OR share > 0.995 THEN 'area_ratio_out_of_bounds' WHEN short THEN 'side_too_short' WHEN sharp THEN 'angle_out_of_bounds' WHEN least(low, room) < -5 THEN 'corner_out_of_image_bounds' END AS reason FROM k)
+ SELECT quad_id, reason, round(CASE WHEN reason IS NULL THEN 0.4 * symmetry + 0.4 * square + 0.2 * least(1, share / 0.3) ELSE 0 END, 6) AS confidence FROM r""")
+def outline_checks(quads):
+    return VA.outlines_checked(quads).select("quad_id", "reason", *r6("confidence"))
+
+
+@query("v_quads", sql=_SHAPES + """ SELECT quad_id, convex AND share BETWEEN 0.01 AND 0.995 AND NOT short AND NOT sharp AS valid, round(0.45 * symmetry + 0.3 * square + 0.2 * least(1, share / 0.3) + 0.05 * greatest(0, least(1, least(low, room) / 40)), 6) AS confidence FROM k""")
+def contour_candidates(quads):
+    return VA.contour_candidates(quads).select("quad_id", "valid", *r6("confidence"))
+
+
+@query("v_candidates", sql="""WITH r AS (SELECT l.image_id, min(candidate_id) AS candidate_id FROM v_candidates l WHERE source = 'mixed' GROUP BY 1), i AS (SELECT DISTINCT image_id FROM v_candidates)
+ SELECT image_id, candidate_id, source, round(geometry_quality, 6) AS geometry_quality FROM i LEFT JOIN r USING (image_id) LEFT JOIN v_candidates USING (image_id, candidate_id)""")
+def chosen_candidates(candidates):
+    rankings = candidates.groupBy("image_id").agg(F.min(F.when(F.col("source") == "mixed", F.col("candidate_id"))).alias("selected_candidate_id"))
+    return RC.chosen_candidates(rankings, candidates).select("image_id", "candidate_id", "source", *r6("geometry_quality"))
+
+
+@query("v_positions", sql="""WITH n AS (SELECT image_id, position, row_number() OVER (PARTITION BY image_id ORDER BY seq) - 1 AS k FROM v_positions)
+ SELECT image_id, round(max(position) FILTER (k = 0), 6) AS first_ms, count(*) FILTER (k > 0) AS iterations, round(avg(position) FILTER (k > 0), 6) AS mean_ms, round(quantile_cont(position, 0.5) FILTER (k > 0), 6) AS p50_ms, round(quantile_cont(position, 0.95) FILTER (k > 0), 6) AS p95_ms, round(quantile_cont(position, 0.99) FILTER (k > 0), 6) AS p99_ms FROM n GROUP BY 1""")
+def repeated_timings(positions):
+    numbered = positions.select("image_id", F.col("position").alias("ms"), (F.row_number().over(W.partitionBy("image_id").orderBy("seq")) - 1).alias("seq"))
+    return RC.repeated_timings(numbered, ("image_id",)).select("image_id", "iterations", *r6("first_ms", "mean_ms", "p50_ms", "p95_ms", "p99_ms"))
+
+
+@query("v_segments", sql="""WITH s AS (SELECT *, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS n FROM v_segments), t AS (SELECT *, (x2 - x1) / n AS ux, (y2 - y1) / n AS uy FROM s WHERE n > 1e-9),
+ b AS (SELECT image_id, segment_id, unnest([CASE WHEN abs(ux) > 1e-9 THEN (0 - x1) / ux END, CASE WHEN abs(ux) > 1e-9 THEN (999 - x1) / ux END]) AS t, y1 AS pos, uy AS step, 799 AS most FROM t UNION ALL SELECT image_id, segment_id, unnest([CASE WHEN abs(uy) > 1e-9 THEN (0 - y1) / uy END, CASE WHEN abs(uy) > 1e-9 THEN (799 - y1) / uy END]), x1, ux, 999 FROM t),
+ m AS (SELECT image_id, segment_id, min(t) AS low, max(t) AS high FROM b WHERE t IS NOT NULL AND pos + t * step BETWEEN -1e-6 AND most + 1e-6 GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT image_id, segment_id, round(CASE WHEN n <= 1e-9 THEN NULL WHEN low IS NULL THEN n ELSE least(high, 4 * n) - greatest(low, -3 * n) END, 4) AS length FROM s LEFT JOIN m USING (image_id, segment_id)""")
+def extended_segments(segments):
+    drawn = G.extended_segment(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")], F.lit(1000), F.lit(800))
+    return segments.select("image_id", "segment_id", F.round(drawn["length"], 4).alias("length"))
+
+
+@query("v_files", "v_state", sql="""WITH f AS (SELECT employee_name, bool_and(s.relative_path IS NOT NULL) AS ready FROM v_files f LEFT JOIN (SELECT DISTINCT relative_path FROM v_state WHERE size % 50 <> 0) s USING (relative_path) GROUP BY 1)
+ SELECT employee_name, len(employee_name) AS n_pages FROM f WHERE ready""")
+def given_orders(files, state):
+    groups = files.select("employee_name").distinct()
+    ids = F.explode(F.array(F.concat("employee_name", F.lit(":2024-05")), F.concat("employee_name", F.lit(":2024-06")), F.concat("employee_name", F.lit(":x")), F.col("employee_name")))
+    orders = groups.select(ids.alias("group_id"), F.sequence(F.lit(1), F.length("employee_name")).cast("array<string>").alias("ordered_source_paths"))
+    return RC.given_orders(orders, files, state.where("size % 50 <> 0"), year=2024, month=5).select("employee_name", F.size("ordered_source_paths").cast("long").alias("n_pages"))
