@@ -687,7 +687,7 @@ def annotation_summary(pool):
  SELECT image_id, edge, segment_id FROM d JOIN s USING (image_id) WHERE least(abs(angle - edge_angle), 180 - abs(angle - edge_angle)) <= 20 AND sqrt(((x1 + x2) / 2 - (px + qx) / 2) ** 2 + ((y1 + y2) / 2 - (py + qy) / 2) ** 2) <= 250""")
 def edge_segments(truth, segments):
     quads = truth.select(F.col("sample_id").alias("image_id"), "corners")
-    return D.segments_by_edge(quads, _segments(segments.where("image_id < 500")), distance=250, angle=20).select("image_id", "edge", "segment_id")
+    return D.segments_by_edge(quads, _segments(segments), distance=250, angle=20).select("image_id", "edge", "segment_id")
 
 
 @query("v_truth", "v_segments")

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from leafplan.plans.catalogue import ORACLE_SQL, QUERIES
+from leafplan.plans.catalogue import ORACLE_SQL, QUERIES, edge_segments
 
 from .conftest import DATA
 
@@ -30,3 +30,22 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_edge_segments_of_all_images(spark):
+    """The SQL of this query stops at image 499, so images on both sides of that are compared with plain loops."""
+    box = [(150.0, 120.0), (850.0, 130.0), (840.0, 680.0), (150.0, 690.0)]
+    images = (3, 499, 500, 501, 1999, 70_000)
+    lines = [(k, 100.0 + 37 * k, 90.0 + 53 * k % 640, 100.0 + 37 * k + dx, 90.0 + 53 * k % 640 + dy) for k, (dx, dy) in enumerate([(300.0, 10.0), (5.0, 250.0), (200.0, 190.0), (-280.0, 20.0), (12.0, -300.0), (400.0, 60.0), (-8.0, 330.0), (90.0, 5.0)] * 2, 1)]
+    truth = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in box]) for i in images], "sample_id long, corners array<struct<x double, y double>>")
+    segments = spark.createDataFrame([(i, *x) for i in images for x in lines], "image_id long, segment_id int, x1 double, y1 double, x2 double, y2 double")
+    turn = lambda ax, ay, bx, by: math.degrees(math.atan2(by - ay, bx - ax)) % 180
+    want = set()
+    for k, ((px, py), (qx, qy)) in enumerate(zip(box, box[1:] + box[:1])):
+        for s, x1, y1, x2, y2 in lines:
+            gap = abs(turn(x1, y1, x2, y2) - turn(px, py, qx, qy))
+            if min(gap, 180 - gap) <= 20 and math.hypot((x1 + x2 - px - qx) / 2, (y1 + y2 - py - qy) / 2) <= 250:
+                want |= {(i, k, s) for i in images}
+    assert {k for _, k, _ in want} == {0, 1, 2, 3}
+    got = [tuple(r) for r in edge_segments(truth, segments).collect()]
+    assert len(got) == len(want) and set(got) == want
