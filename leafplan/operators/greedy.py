@@ -231,18 +231,17 @@ def along_ring(rows: DataFrame, *, by: str, seq: str, x: str, y: str) -> DataFra
 def segment_families(segments: DataFrame, *, by: str = "image_id", cap: int = 32) -> DataFrame:
     """Up to ``cap`` combinations of two horizontal and two vertical segments an image, in order of ids.
 
-    Only the first nine of each kind can be in them, so the pairs stay few
-    however many segments an image has. Columns: by, segment_id, orientation.
+    The first ``cap`` of pairs x pairs take the first ``cap`` pairs of each kind
+    at most, and those the first ``cap + 1`` segments: (1, 2) to (1, cap + 1). So
+    the pairs stay few however many segments an image has.
+    Columns: by, h1, h2, v1, v2, combination.
     """
     few = segments.where(F.col("orientation").isin("horizontal", "vertical")).withColumn("__rn", F.row_number().over(W.partitionBy(by, "orientation").orderBy("segment_id")))
-    need = 1
-    while need * (need - 1) // 2 < cap:
-        need += 1
-    few = few.where(F.col("__rn") <= need)
+    few = few.where(F.col("__rn") <= cap + 1)
     side = lambda k, n: few.where(F.col("orientation") == k).select(by, F.col("segment_id").alias(n))
-    pair = lambda k, a, b: side(k, a).join(side(k, b), by).where(F.col(a) < F.col(b))
-    both = pair("horizontal", "h1", "h2").join(pair("vertical", "v1", "v2"), by)
-    return both.withColumn("combination", F.row_number().over(W.partitionBy(by).orderBy("h1", "h2", "v1", "v2"))).where(F.col("combination") <= cap)
+    first = lambda pairs, *names: pairs.withColumn("combination", F.row_number().over(W.partitionBy(by).orderBy(*names))).where(F.col("combination") <= cap)
+    pair = lambda k, a, b: first(side(k, a).join(side(k, b), by).where(F.col(a) < F.col(b)), a, b).drop("combination")
+    return first(pair("horizontal", "h1", "h2").join(pair("vertical", "v1", "v2"), by), "h1", "h2", "v1", "v2")
 
 
 def majority_orientation(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:

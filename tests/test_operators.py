@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import combinations, islice, product
 
 import numpy as np
 import pytest
@@ -295,3 +296,19 @@ def test_order_gate_and_free_names(spark):
     wanted = spark.createDataFrame([("p1", "x.pdf"), ("p2", "x.pdf"), ("p3", "y.pdf")], "path string, name string")
     taken = spark.createDataFrame([("x.pdf",), ("x_2.pdf",)], "name string")
     assert {r.path: r.free_name for r in D.first_free_names(wanted, taken).collect()} == {"p1": "x_1.pdf", "p2": "x_3.pdf", "p3": "y.pdf"}
+
+
+def test_segment_families_of_many_segments(spark):
+    sizes = {1: (2, 12), 2: (12, 2), 3: (2, 40), 4: (40, 2), 5: (3, 12), 6: (40, 40), 7: (1, 40), 8: (2, 9), 9: (33, 3), 10: (2, 33)}
+    ids = {}
+    for image, (h, v) in sizes.items():
+        mixed = ["horizontal"] * h + ["vertical"] * v + ["diagonal"] * 3
+        random.Random(image).shuffle(mixed)
+        ids[image] = list(enumerate(mixed, 1))
+    rows = spark.createDataFrame([(i, k, o) for i, held in ids.items() for k, o in held], "image_id long, segment_id int, orientation string").repartition(3)
+    want = set()
+    for i, held in ids.items():
+        h, v = ([k for k, o in held if o == kind] for kind in ("horizontal", "vertical"))
+        want |= {(i, *a, *b) for a, b in islice(product(combinations(h, 2), combinations(v, 2)), 32)}
+    got = [tuple(r) for r in GR.segment_families(rows).select("image_id", "h1", "h2", "v1", "v2").collect()]
+    assert len(got) == len(want) and set(got) == want
