@@ -17,8 +17,8 @@ new that a word model would tell little.
   and the answers go back to their blocks. So what moves is the packed text once
   and the distinct grams of each block, not a row for each gram of a document.
 * The threshold of a language is a high quantile of the held-out trusted
-  documents' log perplexity, plus a share of its distance to the median. It is
-  exact on a fixed grid, so it depends on nothing but the rows. A language with
+  documents' log perplexity and nothing beyond it. It is exact on a fixed grid,
+  so it depends on nothing but the rows. A language with
   under ``LEAST_HELD_OUT`` of them has the threshold of all languages together.
 """
 
@@ -41,7 +41,7 @@ CLASSES = 1 << CLASS_BITS
 TRUSTED_ROWS = 20_000
 HELD_OUT = 0.25
 LEAST_HELD_OUT = 50
-QUANTILE, MARGIN = 0.995, 1.0
+QUANTILE = 0.995
 #: Steps of the grid of log perplexities.
 GRID = 1e-4
 #: Characters in a block, shards of the counts, rows of documents for each copy of a shard.
@@ -305,7 +305,7 @@ def score(docs: DataFrame, counts: DataFrame, low: Low, shards: int = SHARDS) ->
     return blocks.join(answers, "block", "left").mapInArrow(finish, "doc_id long, lang string, text_key long, n_bytes long, log_perplexity double")
 
 
-def thresholds(held_out: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``lang, threshold`` of log perplexity; the row of lang null is that of all languages together.
 
     The quantile is the least grid value with at least that part of the rows at
@@ -315,11 +315,11 @@ def thresholds(held_out: DataFrame, quantile: float = QUANTILE, margin: float =
     bins = some.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
     every = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
     run = bins.unionByName(every).withColumn("upto", F.sum("n").over(W.partitionBy("lang").orderBy("bin"))).withColumn("total", F.sum("n").over(W.partitionBy("lang")))
-    at = run.groupBy("lang").agg(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * quantile), F.col("bin"))).alias("high"), F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * 0.5), F.col("bin"))).alias("mid"), F.max("total").alias("total"))
-    return at.where((F.col("total") >= LEAST_HELD_OUT) | F.col("lang").isNull()).select("lang", ((F.col("high") + margin * (F.col("high") - F.col("mid"))) * GRID).alias("threshold"))
+    at = run.groupBy("lang").agg(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * quantile), F.col("bin"))).alias("high"), F.max("total").alias("total"))
+    return at.where((F.col("total") >= LEAST_HELD_OUT) | F.col("lang").isNull()).select("lang", (F.col("high") * GRID).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, text_key, n_bytes, log_perplexity, threshold, kept`` for each row of ``docs``.
 
     ``labels`` has doc_id, quality (1: good) and toxic (1: toxic). A text of no
@@ -334,7 +334,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_
     # Both lists have trusted_rows ids at most.
     counts, low = train(docs.join(F.broadcast(chosen.where(~held).select("doc_id")), "doc_id", "left_semi"))
     scored = stored(score(docs, counts, low), "scores")
-    limits = stored(thresholds(scored.join(F.broadcast(chosen.where(held).select("doc_id")), "doc_id", "left_semi"), quantile, margin), "thresholds")
+    limits = stored(thresholds(scored.join(F.broadcast(chosen.where(held).select("doc_id")), "doc_id", "left_semi"), quantile), "thresholds")
     general = limits.where("lang is null").first()
     # A row for each language that has enough held-out documents, so fewer than trusted_rows / LEAST_HELD_OUT.
     own = F.broadcast(limits.where("lang is not null").select(F.col("lang").alias("__lp_lang"), "threshold"))

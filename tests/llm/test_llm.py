@@ -428,6 +428,29 @@ def test_classifier(spark, odd):
     assert kn_classifier.classify(empty(spark), labels).count() == 0
 
 
+def test_thresholds_are_quantiles(spark):
+    """An odd document counts once: it neither moves a quantile that is below it nor is gone beyond."""
+    rows = [("en", 1.0 + k / 1000) for k in range(400)] + [("en", 9.0)] + [("fr", 1.0 + k / 100) for k in range(99)] + [("fr", 5.0)]
+    held = spark.createDataFrame(rows, "lang string, log_perplexity double")
+    got = {r.lang: r.threshold for r in kn_classifier.thresholds(held).collect()}
+    for lang in ("en", "fr"):
+        mine = sorted(v for k, v in rows if k == lang)
+        want = mine[-(-len(mine) * 995 // 1000) - 1]
+        assert want - 1e-9 <= got[lang] <= want + 2 * kn_classifier.GRID
+
+
+def test_classifier_rejects_each_kind_of_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    bad = kn_classifier.classify(docs, labels).join(labels.where("quality = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    kinds = {"marks": "text rlike '([&$#%*])\\\\1\\\\1( |$)'", "shouts": "text rlike '[A-Z,.]!! [A-Z]+[,.]?!!'", "tables": "text like '% | % | % | %'"}
+    share = lambda rows, *by: {tuple(r)[:-1]: r.rate for r in rows.groupBy(*by).agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
+    bad = bad.cache()
+    assert len(by_lang := share(bad, "lang")) == 4 and max(by_lang.values()) < 0.3, by_lang
+    for kind, test in kinds.items():
+        assert len(rates := share(bad.where(test), "lang")) == 4 and max(rates.values()) < 0.3, (kind, rates)
+    bad.unpersist()
+
+
 # 10 -----------------------------------------------------------------------------
 
 
