@@ -6,11 +6,11 @@ language's threshold is rejected. Symbols are the bytes of the text in 64 fixed
 classes, and the order is 5: words of the corpora that this is for are so often
 new that a word model would tell little.
 
-* Training takes up to ``trusted_rows`` labelled rows by hash of doc_id, a
-  documented bound; one in ``1 / HELD_OUT`` of them is held out for the
-  thresholds. Counts of 5-grams are summed by key; lower orders are
-  continuation counts of distinct longer grams. Count tables of orders 1 and 2
-  have 64 and 4096 cells and are known to every task.
+* Training takes all trusted rows but the one in ``1 / HELD_OUT`` by hash of
+  doc_id that is held out, and the thresholds take all of those. Counts of
+  5-grams are summed by key; lower orders are continuation counts of distinct
+  longer grams. Count tables of orders 1 and 2 have 64 and 4096 cells and are
+  known to every task.
 * Scoring covers all documents. Each task packs its documents into blocks and
   asks for each block's distinct 5-grams. Requests and counts meet by shard of
   the gram (its context's last two classes, which all orders from 3 to 5 share),
@@ -18,8 +18,8 @@ new that a word model would tell little.
   and the distinct grams of each block, not a row for each gram of a document.
 * The threshold of a language is a high quantile of the held-out trusted
   documents' log perplexity and nothing beyond it. It is exact on a fixed grid,
-  so it depends on nothing but the rows. A language with
-  under ``LEAST_HELD_OUT`` of them has the threshold of all languages together.
+  so it depends on nothing but the rows. A language without
+  any of them has the threshold of all languages together.
 """
 
 from __future__ import annotations
@@ -37,10 +37,9 @@ from .common import hash_bits, pieces_of, quoted, stored
 
 ORDER, CLASS_BITS = 5, 6
 CLASSES = 1 << CLASS_BITS
-#: Labelled rows that the model is fitted on, at most.
-TRUSTED_ROWS = 20_000
 HELD_OUT = 0.25
-LEAST_HELD_OUT = 50
+#: Bits of the filter that keeps other documents' texts out of the shuffle of the trusted, in rows of 2 ** 15.
+FILTER_BITS = 1 << 26
 QUANTILE = 0.995
 #: Steps of the grid of log perplexities.
 GRID = 1e-4
@@ -315,11 +314,27 @@ def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     bins = some.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
     every = bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "bin", "n")
     run = bins.unionByName(every).withColumn("upto", F.sum("n").over(W.partitionBy("lang").orderBy("bin"))).withColumn("total", F.sum("n").over(W.partitionBy("lang")))
-    at = run.groupBy("lang").agg(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * quantile), F.col("bin"))).alias("high"), F.max("total").alias("total"))
-    return at.where((F.col("total") >= LEAST_HELD_OUT) | F.col("lang").isNull()).select("lang", (F.col("high") * GRID).alias("threshold"))
+    at = run.groupBy("lang").agg(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * quantile), F.col("bin"))).alias("high"))
+    return at.select("lang", (F.col("high") * GRID).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_ROWS, quantile: float = QUANTILE) -> DataFrame:
+def texts_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the rows of ``docs`` whose doc_id is in ``ids`` (``doc_id long``, distinct).
+
+    The join is exact and deals both sides by doc_id. Before it, a bit map of
+    hashed ids drops nearly all rows that have no partner, so that few texts
+    move for nothing. The map has ``FILTER_BITS`` bits however many ids there are.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.bitmap_bit_position(place)
+    maps = ids.groupBy(F.bitmap_bucket_number(place).alias("__lp_row")).agg(F.bitmap_construct_agg(bit).alias("__lp_map"))
+    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text")).withColumns({"__lp_at": F.bitmap_bucket_number(place), "__lp_bit": bit})
+    byte = F.conv(F.hex(F.substring(F.col("__lp_map"), (F.col("__lp_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    near = rows.join(F.broadcast(maps), F.col("__lp_at") == F.col("__lp_row")).where(F.call_function("shiftright", byte, (F.col("__lp_bit") % 8).cast("int")) % 2 == 1)
+    return near.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, text_key, n_bytes, log_perplexity, threshold, kept`` for each row of ``docs``.
 
     ``labels`` has doc_id, quality (1: good) and toxic (1: toxic). A text of no
@@ -328,16 +343,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, trusted_rows: int = TRUSTED_
     its own rows, as any other; rows of equal doc_id and text are judged alike.
     """
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    draw = hash_bits("trusted", F.col("doc_id"))
-    chosen = stored(good.withColumn("draw", draw).orderBy("draw", "doc_id").limit(trusted_rows), "trusted")
-    held = hash_bits("held-out", F.col("doc_id")) < F.lit(int(HELD_OUT * (1 << 52)))
-    # Both lists have trusted_rows ids at most.
-    counts, low = train(docs.join(F.broadcast(chosen.where(~held).select("doc_id")), "doc_id", "left_semi"))
+    trusted = stored(good.withColumn("held", hash_bits("held-out", F.col("doc_id")) < F.lit(int(HELD_OUT * (1 << 52)))), "trusted")
+    counts, low = train(texts_among(docs, trusted.where("not held").select("doc_id")))
     scored = stored(score(docs, counts, low), "scores")
-    limits = stored(thresholds(scored.join(F.broadcast(chosen.where(held).select("doc_id")), "doc_id", "left_semi"), quantile), "thresholds")
+    limits = stored(thresholds(scored.join(trusted.where("held").select("doc_id"), "doc_id", "left_semi"), quantile), "thresholds")
     general = limits.where("lang is null").first()
-    # A row for each language that has enough held-out documents, so fewer than trusted_rows / LEAST_HELD_OUT.
-    own = F.broadcast(limits.where("lang is not null").select(F.col("lang").alias("__lp_lang"), "threshold"))
+    # A row for each language that has held-out documents: a few, which the planner broadcasts by their size.
+    own = limits.where("lang is not null").select(F.col("lang").alias("__lp_lang"), "threshold")
     out = scored.join(own, F.coalesce("lang", F.lit("")) == F.col("__lp_lang"), "left").drop("__lp_lang")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(general["threshold"] if general else None).cast("double")))
     kept = F.col("log_perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("log_perplexity") <= F.col("threshold")))

@@ -439,6 +439,20 @@ def test_thresholds_are_quantiles(spark):
         assert want - 1e-9 <= got[lang] <= want + 2 * kn_classifier.GRID
 
 
+def test_classifier_uses_all_trusted_rows(spark, monkeypatch):
+    n, seen = 22_000, {}
+    docs = spark.range(-5, n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), "id", F.md5(F.col("id").cast("string"))).alias("text"), F.when(F.col("id") % 1000 == 0, "xx").otherwise("en").alias("lang"))
+    docs = docs.unionByName(docs.where("doc_id < 0").withColumn("doc_id", F.lit(None).cast("long"))).repartition(4)
+    labels = spark.range(-5, n + 50).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 50 == 7).cast("int").alias("toxic"))
+    train, thresholds = kn_classifier.train, kn_classifier.thresholds
+    monkeypatch.setattr(kn_classifier, "train", lambda t, *a: (seen.update(fit={r.text.rsplit(" ", 1)[0] for r in t.select("text").collect()}), train(t, *a))[1])
+    monkeypatch.setattr(kn_classifier, "thresholds", lambda h, *a: (seen.update(held={f"word {r.doc_id}" for r in h.select("doc_id").collect()}), thresholds(h, *a))[1])
+    limits = {r.lang: r.threshold for r in kn_classifier.classify(docs, labels).select("lang", "threshold").distinct().collect()}
+    assert not seen["fit"] & seen["held"] and seen["fit"] | seen["held"] == {f"word {k}" for k in range(-5, n) if k % 50 != 7}
+    # 22 rows of a language are enough for a threshold of its own.
+    assert len(limits) == 2 and limits["xx"] != limits["en"]
+
+
 def test_classifier_rejects_each_kind_of_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     bad = kn_classifier.classify(docs, labels).join(labels.where("quality = 0"), "doc_id").join(docs.select("doc_id", "text"), "doc_id")
