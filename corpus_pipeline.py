@@ -49,7 +49,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each document, with digests of a decoding."""
     model = tokenizer_file("piece_bpe_32k.model")
-    return piece_codec.piece_digests(docs, model, carry=["doc_id", "lang", "source"])
+    return piece_codec.piece_digests(docs, model, carry=["doc_id", "lang", "source"], with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -316,27 +316,36 @@ def decode_pieces(encoded: DataFrame, model_path: str, *, carry: list[str] | Non
     return append_columns(encoded, "decoded string", make, uses=("piece_ids",), carry=carry)
 
 
-def piece_digests(docs: DataFrame, model_path: str, *, carry: list[str] | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def piece_digests(docs: DataFrame, model_path: str, *, carry: list[str] | None = None, batch_chars: int = BATCH_CHARS, with_ids: bool = False) -> DataFrame:
     """Encodes and decodes each text; adds ``n_pieces, ids_crc32, decoded_chars, decoded_crc32, round_trip``.
 
     ``ids_crc32`` is of the ids as little-endian int32. ``round_trip`` says that
     the decoded text is the text again, where a word mark counts as a space.
+    ``with_ids`` adds ``piece_ids`` (array of int) in front of them.
     """
 
     def make():
         from zlib import crc32
 
+        import pyarrow as pa
+
         model = model_at(model_path)
 
         def digest(texts):
-            out = []
+            out, held = [], []
             texts = [t or "" for t in texts.to_pylist()]
             for a, b in pieces_of(texts, batch_chars):
                 for text, ids in zip(texts[a:b], model.encode(texts[a:b])):
+                    if with_ids:
+                        held.append(ids)
                     back = model.decode(ids.tolist())
                     out.append((len(ids), crc32(ids.astype("<i4").tobytes()), len(back), crc32(back.encode()), back == text.replace(MARK, " ")))
-            return [list(c) for c in zip(*out)]
+            made = [list(c) for c in zip(*out)]
+            if not with_ids:
+                return made
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(held), pa.int32())), *made]
 
         return digest
 
-    return append_columns(docs, "n_pieces long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean", make, carry=carry)
+    return append_columns(docs, ("piece_ids array<int>, " if with_ids else "") + "n_pieces long, ids_crc32 long, decoded_chars long, decoded_crc32 long, round_trip boolean", make, carry=carry)

@@ -523,3 +523,13 @@ def test_pipeline_stages_take_odd_rows(spark, odd, tmp_path):
         for _, stage in pipeline.STAGES:
             stage(spark, df, str(tmp_path)).collect()
     assert pipeline.near_dedup_stage(spark, odd, "").where("doc_id in (5, 6)").count() == 1
+
+
+def test_pipeline_returns_piece_ids(spark, odd):
+    import corpus_pipeline as pipeline
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    got = pipeline.piece_encoding(spark, odd, "").collect()
+    assert sorted(r.piece_ids for r in got) == sorted(library.encode(t or "") for _, t, *_ in ODD)
+    assert all(r.n_pieces == len(r.piece_ids) and r.ids_crc32 == zlib.crc32(np.array(r.piece_ids, "<i4").tobytes()) for r in got)
