@@ -33,12 +33,13 @@ def quality_rule_cascade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the least doc_id, once."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__lp_id")).distinct()
-    # Rows of one doc_id are reduced to one; those of null doc_id, which can't be told apart, by their texts.
-    same = F.when(quoted("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    joined = docs.join(kept, quoted("doc_id").eqNullSafe(F.col("__lp_id")), "left_semi").withColumn("__lp_same", same)
-    return joined.dropDuplicates(["doc_id", "__lp_same"]).select(*COLUMNS)
+    """One document of each group of near duplicates, once: that of the least doc_id, and of its texts that of the least hash."""
+    near = near_dedup.near_duplicates(docs, with_text_key=True)
+    first = near.where("first").select(F.col("doc_id").alias("__lp_id"), F.col("text_key").alias("__lp_first")).distinct()
+    # A doc_id may have several texts; only true copies of a row are reduced to one.
+    keyed = docs.withColumn("__lp_key", F.xxhash64(F.coalesce(quoted("text").cast("string"), F.lit(""))))
+    joined = keyed.join(first, quoted("doc_id").eqNullSafe(F.col("__lp_id")) & (F.col("__lp_key") == F.col("__lp_first")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "__lp_key"]).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,8 +112,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * (len(a) + len(b) - union) >= THRESHOLD * union
 
 
-def shingle_features(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs``, stored: ``rid`` (unique), ``doc_id, n_shingles, fp, sig, bands, body``."""
+def shingle_features(docs: DataFrame, with_text_key: bool = False) -> DataFrame:
+    """A row for each row of ``docs``, stored: ``rid`` (unique), ``doc_id, n_shingles, fp, sig, bands, body``, and ``text_key`` if asked for."""
 
     def make():
         import zstandard
@@ -132,7 +132,9 @@ def shingle_features(docs: DataFrame) -> DataFrame:
         return features
 
     rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    made = append_columns(rows, "n_shingles long, fp binary, sig binary, bands array<long>, body binary", make, carry=["doc_id"])
+    if with_text_key:
+        rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    made = append_columns(rows, "n_shingles long, fp binary, sig binary, bands array<long>, body binary", make, carry=["doc_id", "text_key"] if with_text_key else ["doc_id"])
     return stored(made.withColumn("rid", F.monotonically_increasing_id()), "shingles")
 
 
@@ -322,7 +324,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, with_text_key: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     ``component_id`` is the least doc_id that links lead to, itself included;
@@ -330,8 +332,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing. Null doc_ids take part in links, but a component's id is null only
     if all of its doc_ids are, and then its rows are all kept. Repeated rows are
     copies of each other and all kept if one is.
+
+    ``with_text_key`` adds ``text_key``, a hash of the text, and ``first``: of a
+    component's rows, those of the least doc_id and then of the least text_key.
     """
-    rows = shingle_features(docs)
+    rows = shingle_features(docs, with_text_key)
     worded = rows.where("n_shingles > 0")
     nodes = stored(worded.groupBy("fp").agg(F.min(F.struct("rid", "bands")).alias("least")).select("fp", "least.rid", "least.bands"), "nodes")
     keys = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
@@ -349,7 +354,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     of_node = nodes.select("fp", F.col("rid").alias("node")).join(last, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     # A row without words is a component of its own; ids of rows and of nodes are the same.
-    light = rows.select("rid", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
-    placed = light.join(of_node, "fp", "left").select("rid", "doc_id", "n_shingles", F.coalesce("component", "rid").alias("component"))
-    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(ids, "component").select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    more = ["text_key"] if with_text_key else []
+    light = rows.select("rid", "doc_id", "n_shingles", *more, F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
+    placed = light.join(of_node, "fp", "left").select("rid", "doc_id", "n_shingles", *more, F.coalesce("component", "rid").alias("component"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    least = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))["text_key"].alias("least")] if with_text_key else []
+    ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), *least)
+    return placed.join(ids, "component").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *more, *[(kept & (F.col("text_key") == F.col("least"))).alias("first") for _ in more])

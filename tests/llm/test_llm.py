@@ -533,3 +533,15 @@ def test_pipeline_returns_piece_ids(spark, odd):
     got = pipeline.piece_encoding(spark, odd, "").collect()
     assert sorted(r.piece_ids for r in got) == sorted(library.encode(t or "") for _, t, *_ in ODD)
     assert all(r.n_pieces == len(r.piece_ids) and r.ids_crc32 == zlib.crc32(np.array(r.piece_ids, "<i4").tobytes()) for r in got)
+
+
+def test_near_dedup_stage_tells_texts_of_one_id_apart(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda seed, n=60: " ".join(f"{seed}{k}" for k in range(n))
+    held = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("c")), (3, text("c") + " x"), (3, text("d")), (4, text("e")), (4, text("e") + " y"), (None, text("f")), (None, text("g")), (None, text("g"))]
+    got = pipeline.near_dedup_stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in held], SCHEMA).repartition(3), "").collect()
+    near_copies = [r.text for r in got if r.doc_id == 4]
+    assert len(near_copies) == 1 and near_copies[0].startswith(text("e"))
+    rest = sorted(((r.doc_id, r.text) for r in got if r.doc_id != 4), key=repr)
+    assert rest == sorted([(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d")), (None, text("f")), (None, text("g"))], key=repr)
