@@ -16,8 +16,10 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset (local
-    tests) a temporary folder of this machine is made and set.
+    It is what ``spark.checkpoint.dir`` names, by Hadoop's default file system
+    if it has no scheme. Only on a local master, where driver and executors are
+    one process, a temporary folder is made if that is unset; elsewhere that is
+    an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -25,11 +27,12 @@ def shared_root(spark: SparkSession) -> str:
         held = context._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="leafplan-")
         context.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
-    return root.rstrip("/")
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -37,15 +40,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/leafplan-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     This cuts the lineage: what follows is computed once, and a lost executor
-    costs a read, not the stages above.
+    costs a read, not the stages above. ``files`` deals a table of small rows to
+    so many files; without it there is one for each task that has rows.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df if files is None else df.repartition(files)).write.option("compression", "zstd").parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by :func:`stored` that nothing lazy reads any more."""
+    for table in tables:
+        at = table.__dict__.pop("_stored_at", None)
+        if at:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -87,12 +103,14 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def append_columns(df: DataFrame, fields: str, make, uses: tuple[str, ...] = ("text",), carry: list[str] | None = None) -> DataFrame:
-    """``df`` with columns that Python computes from whole Arrow batches.
+def append_columns(df: DataFrame, fields: str, make, uses: tuple[str, ...] = ("text",), carry: list[str] | None = None, rows_at_once: int = 1 << 30) -> DataFrame:
+    """``df`` with columns that Python computes from Arrow batches.
 
     ``make()`` is called once a task and gives a function from the ``uses``
-    columns (pyarrow arrays) to the arrays of ``fields`` (DDL). ``carry`` names
-    the input columns to hand on, all of them if None.
+    columns (pyarrow arrays of up to ``rows_at_once``) to the arrays of
+    ``fields`` (DDL). ``carry`` names the input columns to hand on, all of them
+    if None. Input columns with the name of a new one, compared without case,
+    are left out.
     """
     from pyspark.sql import types as T
 
@@ -108,8 +126,9 @@ def append_columns(df: DataFrame, fields: str, make, uses: tuple[str, ...] = ("t
         from pyspark.sql.pandas.types import to_arrow_schema
 
         compute, out = make(), to_arrow_schema(schema)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(first, rows_at_once)
                 made = compute(*[batch.column(i) for i in at])
                 made = [x.cast(out.field(len(keep) + i).type) if isinstance(x, pa.Array) else pa.array(x, type=out.field(len(keep) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=out.names)

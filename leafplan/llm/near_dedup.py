@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, quoted, stored
+from .common import append_columns, discard, quoted, stored
 
 BANDS, ROWS = 48, 7
 #: Minima (8 bits each) that the signature check compares, and the agreement that it asks for:
@@ -41,7 +41,11 @@ SIGNATURE, AGREEMENT = 256, 0.675
 THRESHOLD = 80
 #: Nodes that one task compares with a hub, and nodes in a block of the search in full.
 HUB_SHARE, BLOCK = 2_000, 4_000
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 150_000
+#: Documents that a task turns into features at once.
+BATCH_ROWS = 512
+#: Documents for each file of a table of pairs, nodes or links.
+ROWS_A_FILE = 200_000
 
 _M48 = np.uint64((1 << 48) - 1)
 
@@ -116,25 +120,37 @@ def shingle_features(docs: DataFrame, with_text_key: bool = False) -> DataFrame:
     """A row for each row of ``docs``, stored: ``rid`` (unique), ``doc_id, n_shingles, fp, sig, bands, body``, and ``text_key`` if asked for."""
 
     def make():
+        import pyarrow as pa
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
 
         def features(texts):
-            out = []
-            for t in texts:
+            sizes, prints, sigs, bodies, bands = [], [], [], [], []
+            at = np.zeros(len(texts) + 1, np.int32)
+            for i, t in enumerate(texts):
                 lowered = (t.as_py() or "").encode().lower()
                 shingles = shingle_set(lowered)
-                least = minima(shingles) if len(shingles) else None
-                out.append((len(shingles), hashlib.md5(shingles.tobytes()).digest(), b"" if least is None else least[:SIGNATURE].astype(np.uint8).tobytes(), [] if least is None else band_keys(least), pack(lowered)))
-            return [list(c) for c in zip(*out)]
+                if len(shingles):
+                    least = minima(shingles)
+                    sigs.append(least[:SIGNATURE].astype(np.uint8).tobytes())
+                    bands.append(band_keys(least))
+                else:
+                    sigs.append(b"")
+                at[i + 1] = len(bands) * BANDS
+                sizes.append(len(shingles))
+                prints.append(hashlib.md5(shingles.tobytes()).digest())
+                bodies.append(pack(lowered))
+            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+            return [sizes, prints, sigs, pa.ListArray.from_arrays(pa.array(at), flat), bodies]
 
         return features
 
     rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
     if with_text_key:
         rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    made = append_columns(rows, "n_shingles long, fp binary, sig binary, bands array<long>, body binary", make, carry=["doc_id", "text_key"] if with_text_key else ["doc_id"])
+    fields = "n_shingles long, fp binary, sig binary, bands array<long>, body binary"
+    made = append_columns(rows, fields, make, carry=["doc_id", "text_key"] if with_text_key else ["doc_id"], rows_at_once=BATCH_ROWS)
     return stored(made.withColumn("rid", F.monotonically_increasing_id()), "shingles")
 
 
@@ -182,10 +198,12 @@ def _passing(pairs: DataFrame, payload: DataFrame, prepare, test) -> DataFrame:
     return rows.mapInArrow(run, "hub long, node long")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs that pass the signature and then the full sets."""
-    likely = stored(_passing(pairs, rows.select("rid", F.col("sig").alias("load")), lambda: bytes, _agree), "likely")
-    return _passing(likely, rows.select("rid", F.col("body").alias("load")), _set_of, linked)
+def _confirmed(pairs: DataFrame, rows: DataFrame, files: int) -> DataFrame:
+    """The pairs that pass the signature and then the full sets, stored."""
+    likely = stored(_passing(pairs, rows.select("rid", F.col("sig").alias("load")), lambda: bytes, _agree), "likely", files)
+    links = stored(_passing(likely, rows.select("rid", F.col("body").alias("load")), _set_of, linked), "links", files)
+    discard(likely)
+    return links
 
 
 def _second_hubs(buckets: DataFrame, components: DataFrame) -> DataFrame:
@@ -201,8 +219,8 @@ def _second_hubs(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(hubs, "key").where("component <> low").select("hub", "node").distinct()
 
 
-def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links between different components within ``buckets`` (key, node): enough to join what belongs together.
+def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame, files: int) -> DataFrame:
+    """Links between different components within ``buckets`` (key, node), stored: enough to join what belongs together.
 
     Two nodes are compared in the first bucket that they share and in no other.
     """
@@ -259,7 +277,7 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) ->
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int64()) for k in key] + [pa.array(np.array(nodes)[at]), pa.array(component[at])], names=[*order, "node", "component"])
 
-    close = stored(given.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(near, "key long, i long, j long, node long, component long"), "close")
+    close = stored(given.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(near, "key long, i long, j long, node long, component long"), "close", files)
     bodies = close.join(rows.select(F.col("rid").alias("node"), "sig", "bands", "body").hint("merge"), "node").select(*order, "node", "component", "sig", "bands", "body")
 
     def confirm(batches):
@@ -291,14 +309,16 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame) ->
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["hub", "node"])
 
-    return bodies.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(confirm, "hub long, node long")
+    links = stored(bodies.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(confirm, "hub long, node long"), "hidden", files)
+    discard(close)
+    return links
 
 
 # -- components --------------------------------------------------------------
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (its least node) for every node in ``edges`` (two long columns).
+def connected_components(edges: DataFrame, files: int | None = None) -> DataFrame:
+    """``node, component`` (its least node) for every node in ``edges`` (two long columns), stored.
 
     Large-star ties each node's larger neighbours to its least neighbour,
     small-star its smaller ones; they alternate until nothing changes, which
@@ -307,7 +327,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     round is written to the shared folder.
     """
     u, v = [quoted(c) for c in edges.columns[:2]]
-    now = stored(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges")
+    now = stored(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges", files)
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
@@ -316,12 +336,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = stored(small, "edges")
+        last, now = now, stored(small, "edges", files)
+        discard(last)
         after = mark(now)
         if after == before:
             break
         before = after
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(out, "components", files)
+    discard(now)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, with_text_key: bool = False) -> DataFrame:
@@ -337,22 +361,33 @@ def near_duplicates(docs: DataFrame, *, with_text_key: bool = False) -> DataFram
     component's rows, those of the least doc_id and then of the least text_key.
     """
     rows = shingle_features(docs, with_text_key)
-    worded = rows.where("n_shingles > 0")
-    nodes = stored(worded.groupBy("fp").agg(F.min(F.struct("rid", "bands")).alias("least")).select("fp", "least.rid", "least.bands"), "nodes")
-    keys = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
+    files = 2 + rows.count() // ROWS_A_FILE
+    nodes = stored(rows.where("n_shingles > 0").groupBy("fp").agg(F.min("rid").alias("node")), "nodes", files)
+    keys = rows.select(F.col("rid").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     buckets = stored(keys.join(hubs, "key").select("key", "node", "hub"), "buckets")
     loads = rows.select("rid", "sig", "bands", "body")
-    pairs = stored(buckets.where("node <> hub").select("hub", "node").distinct(), "pairs")
-    links = stored(_confirmed(pairs, loads), "links")
-    first = stored(connected_components(links), "components")
-    second = stored(_second_hubs(buckets.select("key", "node"), first), "pairs")
-    links = links.unionByName(stored(_confirmed(second, loads), "links"))
-    then = stored(connected_components(links), "components")
-    hidden = stored(_hidden_links(buckets.select("key", "node"), then, loads), "hidden")
-    last = then if hidden.isEmpty() else stored(connected_components(links.unionByName(hidden)), "components")
-
-    of_node = nodes.select("fp", F.col("rid").alias("node")).join(last, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    pairs = stored(buckets.where("node <> hub").select("hub", "node").distinct(), "pairs", files)
+    links = _confirmed(pairs, loads, files)
+    last = connected_components(links, files)
+    # Without an open bucket the pairs are none, and nothing is left to do.
+    second = stored(_second_hubs(buckets.select("key", "node"), last), "pairs", files)
+    spent = [buckets, pairs, second, links]
+    if not second.isEmpty():
+        more = _confirmed(second, loads, files)
+        spent.append(more)
+        every = links.unionByName(more)
+        if not more.isEmpty():
+            spent.append(last)
+            last = connected_components(every, files)
+        hidden = _hidden_links(buckets.select("key", "node"), last, loads, files)
+        spent.append(hidden)
+        if not hidden.isEmpty():
+            spent.append(last)
+            last = connected_components(every.unionByName(hidden), files)
+    discard(*spent)
+
+    of_node = nodes.join(last, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     # A row without words is a component of its own; ids of rows and of nodes are the same.
     more = ["text_key"] if with_text_key else []
     light = rows.select("rid", "doc_id", "n_shingles", *more, F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"))
