@@ -146,3 +146,18 @@ def pieces_of(texts: list, limit: int):
         held += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def byte_slices(texts, limit: int):
+    """Ranges of a pyarrow string array (null: empty) that hold up to about ``limit`` bytes each."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > limit:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)

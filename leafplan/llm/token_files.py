@@ -19,15 +19,17 @@ File layout, little-endian::
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_folder, pieces_of, quoted
+from .common import ASCII_SPACE, byte_slices, filesystem, new_folder, quoted, stored
 
 MAGIC = 0x31304B4E524C50
 #: log2 of the sum of a table's frequencies, and the least state of a coder.
@@ -35,9 +37,12 @@ SCALE_BITS, LOW_BITS = 20, 31
 #: A block ends with the document in which it reaches so many ids; a file with the block in which it does.
 BLOCK_IDS, FILE_IDS = 1 << 18, 1 << 23
 MOST_LANES = 2048
-#: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 450_000
-BATCH_CHARS = 4_000_000
+#: Words, and as many pre-tokens, whose ids a worker remembers.
+REMEMBERED = 600_000
+#: Bytes of text that are encoded at once.
+BATCH_BYTES = 8_000_000
+#: A task reads so many blocks of a file.
+BLOCKS_A_TASK = 16
 
 
 # -- coding ------------------------------------------------------------------
@@ -182,38 +187,153 @@ class TokenFile:
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose pre-tokens never go across ASCII white space.
-
-    So the ids of a text are those of its words, one after another; the library
-    encodes each word once.
+    """A ``tokenizers`` file, with a memory of words where the file allows one.
+
+    A file whose text is cut at white space, normalised without regard to what
+    stands around a word, and split by a pattern into pre-tokens that a BPE
+    model ends with a suffix, gives a text the ids of its words, one after
+    another: then each distinct word is encoded once. Words of Latin letters and
+    ASCII marks, which are the same in every normal form and have one lower
+    case, are split by the file's own pattern, and only distinct pre-tokens go
+    to the library, many in one call; the suffix says where each ends. Every
+    other word goes to the library itself, and with every other kind of file
+    whole texts do.
     """
 
+    LATIN = "^[\\x21-\\x7e\u00c0-\u012f\u0131-\u024f]+$"
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def encode(self, texts: Iterable[str], end: int) -> list[np.ndarray]:
-        """The ids of each text as uint32, with ``end`` after the last."""
-        # bytes.split() splits at space and TAB..CR, no more and no less.
-        split = [t.encode().split() for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory, self.older = {}, self.memory
-        known, older = self.memory, self.older
-        asked = set().union(*split).difference(known)
-        known.update((w, older[w]) for w in asked if w in older)
-        new = [w for w in asked if w not in older]
-        for a in range(0, len(new), 20_000):
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        parts = lambda x, name: x[name] if x and x.get("type") == "Sequence" else [x or {}]
+        normal, split, model = parts(told["normalizer"], "normalizers"), parts(told["pre_tokenizer"], "pretokenizers"), told["model"]
+        self.added = [t["content"] for t in told.get("added_tokens", [])]
+        self.by_word = (
+            [(n.get("type"), n.get("pattern"), n.get("content")) for n in normal] == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+            and [(x.get("type"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in split] == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+            and (model["type"], model.get("dropout"), bool(model.get("end_of_word_suffix"))) == ("BPE", None, True)
+            and not any(c in t for t in self.added for c in ASCII_SPACE)
+        )
+        if self.by_word:
+            # A line end parts words, so that one call splits many.
+            self.pattern = regex.compile("\n|" + split[0]["pattern"]["Regex"])
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(model["end_of_word_suffix"])]] = True
+        self.known, self.known_pieces = Memory(), Memory()
+
+    def encode(self, texts, end: int) -> list[np.ndarray]:
+        """The ids of each text (a pyarrow array, null: none) as uint32, with ``end`` after the last."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts.fill_null("")
+        if not self.by_word:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return [np.array([*x.ids, end], np.uint32) for x in found]
+        # Arrow splits at space and TAB..CR, no more and no less.
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        flat, lengths = self.known.ids(split.flatten(), self._words)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = np.full(len(flat) + len(texts), end, np.uint32)
+        keep = np.ones(len(out), bool)
+        stops = ends[1:] + np.arange(len(texts))
+        keep[stops] = False
+        out[keep] = flat
+        return np.split(out, stops[:-1] + 1) if len(texts) else []
+
+    def _words(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` (a pyarrow array without repeats) one after another, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(words, self.LATIN)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        pieces = self.pattern.findall("\n".join(words.filter(plain).to_pylist()).lower() + "\n")
+        flat, lengths = self.known_pieces.ids(pa.array(pieces, pa.large_string()), self._pieces)
+        mine = plain.to_numpy(zero_copy_only=False)
+        if not mine.any():
+            flat, sizes = flat[:0], np.zeros(0, np.int64)
+        else:
+            # A line end has no ids and ends a word.
+            sizes = np.diff(np.cumsum(lengths)[np.fromiter(map("\n".__eq__, pieces), bool, len(pieces))], prepend=0)
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        if not rest:
+            return flat, sizes
+        raw: list = []
+        for a in range(0, len(rest), 20_000):
             # One call for many words: the library gives the word of each id.
-            part = new[a : a + 20_000]
-            found = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, np.uint32).tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            known.update(zip(part, map(raw.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist()))))
-        tail = np.array([end], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)) + tail, np.uint32) for ws in split]
+            found = self.tokenizer.encode(rest[a : a + 20_000], is_pretokenized=True, add_special_tokens=False)
+            raw.append((np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(rest[a : a + 20_000]))))
+        both = np.concatenate([sizes, *(n for _, n in raw)])
+        order = np.concatenate([np.flatnonzero(mine), np.flatnonzero(~mine)])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return _gathered(np.concatenate([flat, *(x for x, _ in raw)]), both, back)
+
+    def _pieces(self, pieces) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pre-tokens, of which a line end has no ids."""
+        pieces = pieces.to_pylist()
+        sizes = np.zeros(len(pieces), np.int64)
+        some = [i for i, p in enumerate(pieces) if p != "\n"]
+        every = []
+        for a in range(0, len(some), 20_000):
+            part = [pieces[i] for i in some[a : a + 20_000]]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                n = np.diff(stops, prepend=0)
+            else:
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids, n = np.array([i for x in found for i in x], np.uint32), list(map(len, found))
+            every.append(ids)
+            sizes[some[a : a + 20_000]] = n
+        return np.concatenate(every) if every else np.zeros(0, np.uint32), sizes
+
+
+class Memory:
+    """Ids of strings, by arrays: a known string is found by Arrow's hash, without a Python object."""
+
+    def __init__(self):
+        self.names, self.flat, self.sizes = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def ids(self, strings, make) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``strings`` one after another, and how many each has; ``make`` gives those of unknown ones."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        coded = strings.dictionary_encode()
+        asked, codes = coded.dictionary, coded.indices.to_numpy()
+        if self.names is None:
+            self.names = asked.slice(0, 0)
+        at = pc.index_in(asked, value_set=self.names)
+        new = asked.filter(pc.is_null(at))
+        if len(new):
+            flat, sizes = make(new)
+            place = at.fill_null(0).to_numpy().astype(np.int64)
+            place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.names) + np.arange(len(new))
+            names = pa.concat_arrays([self.names, new])
+            every, lengths = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+            if len(names) > REMEMBERED:
+                # What this call asked for stays; the rest goes.
+                every, lengths = _gathered(every, lengths, place)
+                names, place = asked, np.arange(len(asked))
+            self.names, self.flat, self.sizes = names, every, lengths
+        else:
+            place = at.to_numpy()
+        return _gathered(self.flat, self.sizes, place[codes])
+
+
+def _gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs number ``which`` of ``flat``, whose runs have ``sizes``, one after another, and their sizes."""
+    begin, lengths = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    ends = np.cumsum(lengths)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - lengths), lengths)], lengths
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -236,28 +356,40 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     """Writes the ids of ``docs`` in ascending doc_id order; a row for each file.
 
     Columns: ``path, part, seq, first_id, n_ids, n_docs, n_blocks``; ``first_id``
-    counts the ids of all files before. Each task writes files of names of its
-    own and only those that its row names belong to the table, so a task that
-    runs again leaves nothing but an unread file. A null text has the end id
-    alone; a null doc_id comes first; rows of equal doc_id stand in any order.
-    What comes to the driver is a row for each file.
+    counts the ids of all files before. Rows of equal doc_id stand by a hash of
+    the text, then by the text, and a doc_id with very many rows is dealt to
+    several parts by that hash. A null text has the end id alone; a null doc_id
+    comes first; a text of any length is a document of one block; an empty table
+    has no file. Other columns than doc_id and text are not read.
+
+    Each task writes files of names of its own, and only those that its row
+    names belong to the table, so a task that runs again leaves nothing but an
+    unread file. The rows of files stay a table; what comes to the driver is the
+    sum of each part, of which there are as many as the session's shuffles have.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
+    least = -(1 << 63)
+    key = F.coalesce(quoted("doc_id").cast("long"), F.lit(least))
     # Range bounds from doc_id alone: sampling for a sort would read the texts as well.
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.select(F.percentile_approx(quoted("doc_id").cast("long"), [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
+    bounds = docs.select(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    bounds = np.array(sorted(bounds), np.int64)
 
     @F.arrow_udf("int")
-    def part(ids):
+    def part(ids, draws):
         import pyarrow as pa
 
-        # Nulls go to the first part.
-        return pa.array(np.searchsorted(np.array(bounds, np.int64), ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right"), pa.int32())
+        x, u = ids.to_numpy(), draws.to_numpy()
+        low, high = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+        # An id that is several bounds at once has parts of its own, by its draw in [0, 1).
+        return pa.array(np.where(high > low, low + 1 + (u * (high - low)).astype(np.int64), low).astype(np.int32))
 
-    dealt = rows.withColumn("part", part(F.col("doc_id"))).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"), F.coalesce(quoted("doc_id").cast("long"), F.lit(least)).alias("__lp_key"))
+    # The one id that nulls are sorted like comes after all of them.
+    tie = F.when(F.col("doc_id") == least, F.lit((1 << 53) - 1)).otherwise(F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 11))
+    rows = rows.withColumn("__lp_tie", tie).withColumn("part", part(F.col("__lp_key"), F.col("__lp_tie") / F.lit(float(1 << 53))))
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__lp_tie", "text").select("doc_id", "text", "part")
 
     def run(batches):
         import pyarrow as pa
@@ -284,9 +416,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             if held and number != batch.column(2)[0].as_py():
                 yield flush()
             number = batch.column(2)[0].as_py()
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in pieces_of(texts, BATCH_CHARS):
-                for doc, x in zip(ids[a:b], tokenizer.encode(texts[a:b], end_id)):
+            ids = batch.column(0).to_pylist()
+            for a, b in byte_slices(batch.column(1), BATCH_BYTES):
+                for doc, x in zip(ids[a:b], tokenizer.encode(batch.column(1).slice(a, b - a), end_id)):
                     held_docs.append(doc)
                     held.append(x)
                     size += len(x)
@@ -295,19 +427,21 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         if held:
             yield flush()
 
-    files = dealt.mapInArrow(run, "path string, part int, seq int, n_ids long, n_docs long, n_blocks int").collect()
-    listed, before = [], 0
-    for f in sorted(files, key=lambda f: (f["part"], f["seq"])):
-        listed.append((f["path"], f["part"], f["seq"], before, f["n_ids"], f["n_docs"], f["n_blocks"]))
-        before += f["n_ids"]
-    return spark.createDataFrame(listed, "path string, part int, seq int, first_id long, n_ids long, n_docs long, n_blocks int")
+    files = stored(dealt.mapInArrow(run, "path string, part int, seq int, n_ids long, n_docs long, n_blocks int"), "files", 2)
+    sums, before = [], 0
+    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        sums.append((r["part"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(sums, "part int, start long")
+    earlier = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("earlier", earlier).join(starts, "part").select("path", "part", "seq", (F.col("start") + F.col("earlier")).alias("first_id"), "n_ids", "n_docs", "n_blocks")
 
 
-def read_token_files(files: DataFrame, *, with_ids: bool = True, blocks_a_task: int = 16) -> DataFrame:
+def read_token_files(files: DataFrame, *, with_ids: bool = True, blocks_a_task: int = BLOCKS_A_TASK) -> DataFrame:
     """The documents in ``files``: ``doc_id, start, n_tokens, ids_crc32`` and ``ids`` if asked for.
 
     Blocks are read by offset and decoded apart from each other; a block that
-    fails its checksum ends the job.
+    fails its checksum ends the job. Without files there are no rows.
     """
     ranges = files.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_blocks") - 1, F.lit(0)), F.lit(blocks_a_task)))).select("path", "first_id", "block")
     ranges = ranges.repartition(max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

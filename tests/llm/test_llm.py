@@ -330,6 +330,49 @@ def test_token_files(spark, odd, docs, file_ids):
     assert token_files.read_token_files(token_files.write_token_files(empty(spark), path, end_id=2)).count() == 0
 
 
+def test_token_files_deal_a_hot_id_and_order_ties(spark):
+    """A third of all rows have one id and another third none: both go to several parts, in an order that content decides."""
+    rows = [(7, f"a{k} b") for k in range(60)] + [(None, f"n{k}") for k in range(60)] + [(k, "x") for k in range(60)] + [(-(1 << 63), "least"), (7, None), (7, "a1 b")]
+    path, seen = tokenizer_file("word_bpe_49k.json"), []
+    for n in (1, 5):
+        files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), path, end_id=2)
+        got = sorted(token_files.read_token_files(files).collect(), key=lambda r: r.start)
+        ids = [-(1 << 64) if r.doc_id is None else r.doc_id for r in got]
+        assert ids == sorted(ids) and len(got) == len(rows) and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+        seen.append([(r.doc_id, tuple(r.ids)) for r in got])
+        assert files.where("n_docs > 100").count() == 0
+    assert seen[0] == seen[1]
+
+
+def test_words_are_encoded_as_the_library_encodes_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, rnd = tokenizer_file("word_bpe_49k.json"), random.Random(3)
+    letters = "ÉßŁǆ÷İabcXYZ019 '<|>/.,!?-_é \n\t\x1csté\x85\u0301中"
+    texts = ["".join(rnd.choice(letters) for _ in range(60)) for _ in range(1500)] + ["x 'll 'VE don't", "a<|endoftext|>b </w> a</w>b", "", "ΑΣ Σ ẞ", None]
+    told = json.loads(open(path, encoding="utf-8").read())
+    told["normalizer"]["normalizers"].pop()  # without lower case, words aren't known to stand alone
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    for file, by_word in ((path, True), (str(tmp_path / "other.json"), False)):
+        plain, mine = Tokenizer.from_file(file), token_files.WordTokenizer(file)
+        assert mine.by_word == by_word
+        for _ in range(2):
+            assert [x.tolist() for x in mine.encode(pa.array(texts), 9)] == [[*plain.encode(t or "", add_special_tokens=False).ids, 9] for t in texts]
+
+
+def test_memory_of_words_lets_go(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 5)
+    memory = token_files.Memory()
+    for words in (["a", "bb", "a"], ["ccc", "a", "d"], ["e", "f", "bb", "ccc"], ["f", "a"]):
+        flat, sizes = memory.ids(pa.array(words, pa.large_string()), lambda new: (np.array([ord(c) for w in new.to_pylist() for c in w], np.uint32), np.array([len(w) for w in new.to_pylist()])))
+        assert "".join(map(chr, flat)) == "".join(words) and sizes.tolist() == list(map(len, words)) and len(memory.names) <= 5
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 64, 5000, 70_000):
