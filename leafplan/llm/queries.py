@@ -53,7 +53,8 @@ def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(SHARDS), sharding.even_tree(SHARDS + 1))
+    tree = sharding.even_tree(SHARDS)
+    out = sharding.assign_shards(_table(spark, sf_dir, "documents"), tree, sharding.with_new_shard(tree))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

@@ -118,6 +118,27 @@ def test_rules(spark, odd, docs):
     assert quality_rules.judge_quality(clashing(odd, "KEPT")).columns.count("kept") == 1
 
 
+def test_rules_take_the_words_of_the_sql(spark):
+    """White space beyond ASCII is part of a word, for the rules as for the counts."""
+    import duckdb
+    import pyarrow as pa
+
+    marks = ["\xa0", "\x1c", "\x1f", "\x85", "\u2003", "\u2028", "é", "ǅ", "Ⓐ", "1", "!"]
+    texts = [" ".join(f"ABC{m}def word{k} xxx" for k in range(10)) for m in marks] + [" ".join(f"AB{m}C{k} {m}{m} {'ÀÉ' * 2}{k}" for k in range(14)) for m in marks] + [" ".join(f"{m}{k}" for k in range(12)) for m in marks]
+    docs = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = con.execute(ORACLE_SQL["op2_rule_cascade"]).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in quality_rules.judge_quality(spark.createDataFrame(docs.to_pylist(), "doc_id long, text string"), carry=["doc_id"]).collect()]
+    assert sorted(got, key=lambda r: r["doc_id"]) == sorted(want, key=lambda r: r["doc_id"]) and {r["kept"] for r in got} == {True, False}
+
+
+def test_rules_are_measured_without_a_shuffle(spark, docs):
+    found = quality_rules.measure_rules(docs, sample_rows=60)
+    assert set(found) == {r.name for r in quality_rules.RULES} and all(c > 0 for c, _ in found.values())
+    assert quality_rules.measure_rules(spark.createDataFrame([(None, None)], "doc_id long, text string"))["wordless"][0] > 0
+
+
 def test_rules_agree_with_labels(spark):
     judged = QUERIES["op2_rule_cascade"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     rate = {r.quality: r.rate for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
@@ -161,7 +182,8 @@ def test_token_counts_against_plain_viterbi(spark, odd, docs):
 
 
 def test_sharding(spark, odd, docs):
-    small, grown = sharding.even_tree(40), sharding.even_tree(41)
+    small = sharding.even_tree(40)
+    grown = sharding.with_new_shard(small)
     for df in (odd, docs):
         got = sharding.assign_shards(clashing(df, "Shard", "slot"), small, grown, rows_a_block=2).collect()
         assert len(got) == df.count()
@@ -182,8 +204,52 @@ def test_sharding_weights_and_confined_moves(spark):
     got = keys.select(sharding.place(F.col("k"), tree).alias("a"), sharding.place(F.col("k"), heavier).alias("b")).collect()
     assert [sum(r.a == s for r in got) / 20000 for s in range(3)] == pytest.approx([0.125, 0.375, 0.5], abs=0.02)
     assert {r.b for r in got if r.a != r.b} == {2}
-    with pytest.raises(ValueError):
-        sharding.place(F.col("k"), [])
+    for bad in ([], [sharding.Shard(0, 0, 0, 0.0)], [sharding.Shard(0, 0, 0), sharding.Shard(0, 0, 1)]):
+        with pytest.raises(ValueError):
+            sharding.place(F.col("k"), bad)
+
+
+def test_sharding_descends_and_confines_moves_at_each_level(spark):
+    import struct
+
+    import xxhash
+
+    def draw(name, weight, key):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), xxhash.xxh64_intdigest(struct.pack("<q", name), 42))
+        return -np.log(((h >> 11) + 0.5) / (1 << 53)) / weight
+
+    def slow(tree, key):
+        path, left = (), [s for s in tree if s.weight > 0]
+        for level in (lambda s: s.region, lambda s: s.rack, lambda s: s.number):
+            weights = collections.Counter()
+            for s in left:
+                weights[level(s)] += s.weight
+            won = min(weights, key=lambda c: draw(sharding.node_name("shard", *path, c), weights[c], key))
+            path, left = (*path, won), [s for s in left if level(s) == won]
+        return left[0].number
+
+    tree = [sharding.Shard(i, i // 6, i // 2, 1.0 + i % 3) for i in range(18)]
+    change = lambda **w: [sharding.Shard(s.number, s.region, s.rack, w.get(f"s{s.number}", s.weight)) for s in tree]
+    # Weights that move within a rack, between the racks of a region, and into one region.
+    within, between, into = change(s0=2.0, s1=1.0), change(s0=2.0, s2=2.0), change(s7=9.0)
+    keys = [*range(-700, 700)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r[1:] for r in df.select("k", *[sharding.place(F.col("k"), t).alias(f"c{i}") for i, t in enumerate((tree, within, between, into, sharding.with_new_shard(tree)))]).collect()}
+    for k in keys:
+        assert list(got[k]) == [slow(t, k) for t in (tree, within, between, into, sharding.with_new_shard(tree))]
+    moved = lambda i: {(got[k][0], got[k][i]) for k in keys if got[k][0] != got[k][i]}
+    assert moved(1) and all(a // 2 == b // 2 == 0 for a, b in moved(1))
+    assert moved(2) and all(a // 6 == b // 6 == 0 for a, b in moved(2)) and any(a // 2 != b // 2 for a, b in moved(2))
+    assert moved(3) and all(b // 6 == 1 for _, b in moved(3))
+    assert moved(4) and all(b == 18 for _, b in moved(4))
+
+
+def test_sharding_splits_a_hot_id(spark):
+    df = spark.createDataFrame([(1 if k % 3 else None, f"t{k}") for k in range(300)], "doc_id long, text string")
+    out = sharding.assign_shards(df, sharding.even_tree(2), rows_a_block=10)
+    assert all(sorted(r.slot for r in out.collect() if r.shard == s) == list(range(out.where(F.col("shard") == s).count())) for s in (0, 1))
+    with_window = out._jdf.queryExecution().executedPlan().toString()
+    assert "text_crc32" in with_window and out.select("shard").distinct().count() <= 2
 
 
 # 5 ------------------------------------------------------------------------------
