@@ -25,11 +25,11 @@ from .common import append_columns, pieces_of
 MARK = "▁"
 #: The rank of what is no piece.
 NEVER = (float("inf"), 0)
-#: Characters of text that are encoded together, and new units of them that are indexed together:
-#: an index takes about a hundred times the bytes of its units.
-BATCH_CHARS, INDEXED_UNITS = 2_000_000, 40_000
-#: Units whose ids a worker remembers, in each of two generations, before the older one goes.
-REMEMBERED_UNITS = 300_000
+#: Characters of text that are encoded together, and of new units that are indexed together: an index
+#: takes some hundred times as many bytes. A longer unit is indexed and relaxed in windows of so many bytes.
+BATCH_CHARS, INDEXED_CHARS, WINDOW = 2_000_000, 300_000, 1 << 15
+#: Units whose ids a worker remembers, in each of two generations, before the older one goes; longer ones are forgotten.
+REMEMBERED_UNITS, REMEMBERED_CHARS = 300_000, 256
 #: Pairs of pieces whose verdict a worker remembers, as a power of 2.
 PAIR_BITS = 20
 
@@ -67,6 +67,7 @@ class PieceModel:
         self._index_pieces()
         self.pair_keys = np.full(1 << PAIR_BITS, -1, np.int64)
         self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
+        self.pair_memo: dict[tuple[int, int], bool] = {}
 
     # -- the vocabulary, ready for searching ---------------------------------
 
@@ -163,26 +164,75 @@ class PieceModel:
 
         return bound(self.low[which], False), bound(self.high[which], True)
 
-    def _segment(self, units: list[str]) -> list[bytes]:
-        """The ids of each unit, as the bytes of int32."""
-        raw = [u.encode() for u in units]
-        text = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        starts = np.cumsum(sizes + 1) - sizes - 1
+    def _all_edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of every edge in ``text``; a character that is no piece is an edge of its own kind."""
         at, piece = self._edges(text)
-        # A character that is no piece is an edge of its own kind.
         is_start = (text & 0xC0 != 0x80) & (text != 0xFF)
         chars = np.flatnonzero(is_start)
-        ends = np.flatnonzero(np.concatenate([text[1:] & 0xC0 != 0x80, [True]]) & (text != 0xFF)) + 1
-        single = np.zeros(len(text), bool)
-        one = ends - chars
+        # A character goes on to the next byte that doesn't continue it.
+        ends = np.append(np.flatnonzero(text & 0xC0 != 0x80), len(text))
         width_at = np.zeros(len(text), np.int64)
-        width_at[chars] = one
+        width_at[chars] = ends[np.searchsorted(ends, chars) + 1] - chars
+        single = np.zeros(len(text), bool)
         single[at[self.size_of[piece] == width_at[at]]] = True
         lone = chars[~single[chars]]
         start = np.concatenate([at, lone])
-        piece = np.concatenate([piece, np.full(len(lone), self.unknown)])
-        end = np.concatenate([at + self.size_of[piece[: len(at)]], lone + width_at[lone]])
+        end = np.concatenate([at + self.size_of[piece], lone + width_at[lone]])
+        return start, end, np.concatenate([piece, np.full(len(lone), self.unknown)])
+
+    def _segment_long(self, unit: str) -> bytes:
+        """The ids of one long unit, as the bytes of int32.
+
+        Its text is indexed window by window, each with as many bytes more as a
+        piece may go beyond it. What is kept of a window is the edge that reaches
+        each place, 8 bytes for each byte of the unit.
+        """
+        raw = np.frombuffer(unit.encode(), np.uint8)
+        n, over = len(raw), max(8 * self.width, 4)
+        last, came = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+        last[0] = -2
+        for a in range(0, n, WINDOW):
+            start, end, piece = self._all_edges(raw[a : min(n, a + WINDOW + over)])
+            mine = (start < WINDOW) & (end + a <= n)
+            start, end, piece = start[mine], end[mine], piece[mine]
+            order = np.argsort(end, kind="stable")
+            here = last[a : a + WINDOW + over].tolist()
+            here += [-1] * (WINDOW + over + 1 - len(here))
+            fits = self.pair_memo
+            for s, e, p in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist()):
+                before = here[s]
+                if before == -1:
+                    continue
+                if before >= 0:
+                    if (before, p) not in fits:
+                        if len(fits) >= 1 << PAIR_BITS:
+                            fits.clear()
+                        fits[before, p] = before == self.unknown or p == self.unknown or self.merge(self.texts[before] + self.texts[p]) == [self.texts[before], self.texts[p]]
+                    if not fits[before, p]:
+                        continue
+                here[e] = p
+                came[a + e] = a + s
+            stop = min(n + 1, a + WINDOW + over)
+            last[a:stop] = here[: stop - a]
+        pieces, cuts, at = [], [], n
+        while at:
+            pieces.append(int(last[at]))
+            at = int(came[at])
+            cuts.append(at)
+        if -1 in pieces:
+            raise RuntimeError("a unit has no segmentation")
+        ids: list[int] = []
+        for p, a, b in zip(reversed(pieces), reversed(cuts), [*reversed(cuts[:-1]), n]):
+            ids.extend((self.bytes_at + raw[a:b].astype(np.int32)).tolist() if p == self.unknown else [p])
+        return np.array(ids, np.int32).tobytes()
+
+    def _segment(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as the bytes of int32."""
+        raw = [u.encode() for u in units]
+        text = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        start, end, piece = self._all_edges(text)
         unit_start = np.repeat(starts, sizes + 1)
         offset = end - unit_start[start]
         order = np.argsort(offset, kind="stable")
@@ -259,9 +309,16 @@ class PieceModel:
         asked = set().union(*split).difference(known)
         known.update((u, older[u]) for u in asked if u in older)
         missing = [u for u in asked if u not in older]
-        for a in range(0, len(missing), INDEXED_UNITS):
-            known.update(zip(missing[a : a + INDEXED_UNITS], self._segment(missing[a : a + INDEXED_UNITS])))
-        return [np.frombuffer(b"".join(map(known.__getitem__, us)), np.int32) for us in split]
+        for a, b in pieces_of(missing, INDEXED_CHARS):
+            if b == a + 1 and len(missing[a]) > WINDOW:
+                known[missing[a]] = self._segment_long(missing[a])
+            else:
+                known.update(zip(missing[a:b], self._segment(missing[a:b])))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, us)), np.int32) for us in split]
+        for u in missing:
+            if len(u) > REMEMBERED_CHARS:
+                del known[u]
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``: marks become spaces, the first one goes, bytes that are no UTF-8 become U+FFFD."""
@@ -282,9 +339,11 @@ def model_at(path: str) -> PieceModel:
 def encode_pieces(docs: DataFrame, model_path: str, *, carry: list[str] | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Adds ``piece_ids`` (array of int) to ``docs``.
 
-    A null or empty text has no ids. ``model_path`` must be there on every
-    executor. Texts are indexed in groups of ``batch_chars``; a longer text is a
-    group of its own.
+    A null or empty text has no ids, equal texts have equal ones, and an empty
+    table gives an empty one. ``model_path`` must be there on every executor.
+    Texts are taken in groups of ``batch_chars``, a longer text is a group of its
+    own; what is indexed at once is bounded by bytes, even within one unit. An
+    input column ``piece_ids``, without regard to case, is left out.
     """
 
     def make():
@@ -307,6 +366,7 @@ def decode_pieces(encoded: DataFrame, model_path: str, *, carry: list[str] | Non
     """Adds ``decoded`` (string) from ``piece_ids``; null ids give an empty text.
 
     It is the encoded text again, but that a word mark in it has become a space.
+    An empty table gives an empty one; an input column ``decoded`` is left out.
     """
 
     def make():
@@ -321,7 +381,10 @@ def piece_digests(docs: DataFrame, model_path: str, *, carry: list[str] | None =
 
     ``ids_crc32`` is of the ids as little-endian int32. ``round_trip`` says that
     the decoded text is the text again, where a word mark counts as a space.
-    ``with_ids`` adds ``piece_ids`` (array of int) in front of them.
+    ``with_ids`` adds ``piece_ids`` (array of int) in front of them. Nulls, empty
+    and long texts, equal rows, empty tables and clashing names are as in
+    :func:`encode_pieces`: a null text has no pieces, decodes to an empty text
+    and is its round trip.
     """
 
     def make():

@@ -601,6 +601,27 @@ def test_pieces_of_random_texts():
     assert [x.tolist() for x in model.encode(texts)] == library.encode(texts)
 
 
+def test_long_units_are_indexed_in_windows(monkeypatch):
+    """A unit without a space may be of any length: it costs time in proportion, and not much more memory than its text."""
+    import resource
+
+    from sentencepiece import SentencePieceProcessor
+
+    path, rnd = tokenizer_file("piece_bpe_32k.model"), random.Random(1)
+    library, model = SentencePieceProcessor(model_file=path), piece_codec.PieceModel(path)
+    texts = ["".join(rnd.choice("abcdeinorst.,'AZ09éß中🙂theandingtion") for _ in range(60_000)), "ab" * 40_000, "=" * 70_000, "🙂中" * 20_000]
+    assert [x.tolist() for x in model.encode([*texts, "and words", *texts[:1]])] == library.encode([*texts, "and words", *texts[:1]])
+    assert max(map(len, model.memory)) <= piece_codec.REMEMBERED_CHARS
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert model.encode(["a" * 5_000_000])[0].tolist() == library.encode("a" * 5_000_000)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+    monkeypatch.setattr(piece_codec, "WINDOW", 40)
+    model = piece_codec.PieceModel(path)
+    texts = ["".join(rnd.choice("aeinrt.é中🙂") for _ in range(rnd.randrange(41, 300))) for _ in range(200)]
+    monkeypatch.setattr(piece_codec, "INDEXED_CHARS", 1)
+    assert [x.tolist() for x in model.encode(texts)] == library.encode(texts)
+
+
 # the pipeline ---------------------------------------------------------------------
 
 
