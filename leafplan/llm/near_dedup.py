@@ -1,8 +1,8 @@
 """Near-duplicate documents: MinHash, banding, verification, components.
 
-A document's set holds its distinct 2-word shingles (A-Z lower-cased, words end
-at ASCII white space; a single word is the set's only member). Documents are
-linked if 100 * intersection >= 80 * union.
+A document's set holds its distinct shingles of so many words, five unless told
+otherwise (A-Z lower-cased, words end at ASCII white space; fewer words are one
+shingle). Documents are linked if 100 * intersection >= 80 * union.
 
 1. Each task hashes its documents' shingles and takes many universal hash
    minima. Equal sets are one node from here on, whatever their number.
@@ -37,8 +37,8 @@ BANDS, ROWS = 48, 7
 #: Minima (8 bits each) that the signature check compares, and the agreement that it asks for:
 #: five standard deviations below a similarity of 0.8.
 SIGNATURE, AGREEMENT = 256, 0.675
-#: Similarity in hundredths.
-THRESHOLD = 80
+#: Similarity in hundredths, and words of a shingle.
+THRESHOLD, WIDTH = 80, 5
 #: Nodes that one task compares with a hub, and nodes in a block of the search in full.
 HUB_SHARE, BLOCK = 2_000, 4_000
 REMEMBERED_WORDS = 150_000
@@ -70,17 +70,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(33)
 
 
-def shingle_set(lowered: bytes) -> np.ndarray:
-    """The sorted 48-bit hashes of a text's distinct 2-word shingles."""
+def shingle_set(lowered: bytes, width: int = WIDTH) -> np.ndarray:
+    """The sorted 48-bit hashes of a text's distinct shingles of ``width`` words; fewer words are one shingle."""
     words = lowered.split()
     if not words:
         return np.zeros(0, np.uint64)
     if len(_WORDS) > REMEMBERED_WORDS:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    if len(h) == 1:
-        return _mix(h ^ np.uint64(0x5851F42D4C957F2D)) & _M48
-    return np.unique(_mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + _mix(h[1:])) & _M48)
+    size = min(width, len(h))
+    n = len(h) - size + 1
+    runs = h[:n]
+    if size < width:
+        # As long a shingle of another text is none of this one's.
+        runs = _mix(runs ^ np.uint64(0x5851F42D4C957F2D) * np.uint64(size))
+    for k in range(1, size):
+        runs = _mix(runs * np.uint64(0x9E3779B97F4A7C15) + _mix(h[k : n + k]))
+    return np.unique(_mix(runs) & _M48)
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +122,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * (len(a) + len(b) - union) >= THRESHOLD * union
 
 
-def shingle_features(docs: DataFrame, with_text_key: bool = False) -> DataFrame:
+def shingle_features(docs: DataFrame, width: int = WIDTH, with_text_key: bool = False) -> DataFrame:
     """A row for each row of ``docs``, stored: ``rid`` (unique), ``doc_id, n_shingles, fp, sig, bands, body``, and ``text_key`` if asked for."""
 
     def make():
@@ -130,7 +136,7 @@ def shingle_features(docs: DataFrame, with_text_key: bool = False) -> DataFrame:
             at = np.zeros(len(texts) + 1, np.int32)
             for i, t in enumerate(texts):
                 lowered = (t.as_py() or "").encode().lower()
-                shingles = shingle_set(lowered)
+                shingles = shingle_set(lowered, width)
                 if len(shingles):
                     least = minima(shingles)
                     sigs.append(least[:SIGNATURE].astype(np.uint8).tobytes())
@@ -161,11 +167,11 @@ def _agree(a: bytes, b: bytes) -> bool:
     return (np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean() >= AGREEMENT
 
 
-def _set_of():
+def _set_of(width: int):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    return lambda body: shingle_set(unpack(body))
+    return lambda body: shingle_set(unpack(body), width)
 
 
 def _passing(pairs: DataFrame, payload: DataFrame, prepare, test) -> DataFrame:
@@ -198,10 +204,10 @@ def _passing(pairs: DataFrame, payload: DataFrame, prepare, test) -> DataFrame:
     return rows.mapInArrow(run, "hub long, node long")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, files: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, files: int) -> DataFrame:
     """The pairs that pass the signature and then the full sets, stored."""
     likely = stored(_passing(pairs, rows.select("rid", F.col("sig").alias("load")), lambda: bytes, _agree), "likely", files)
-    links = stored(_passing(likely, rows.select("rid", F.col("body").alias("load")), _set_of, linked), "links", files)
+    links = stored(_passing(likely, rows.select("rid", F.col("body").alias("load")), lambda: _set_of(width), linked), "links", files)
     discard(likely)
     return links
 
@@ -219,7 +225,7 @@ def _second_hubs(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(hubs, "key").where("component <> low").select("hub", "node").distinct()
 
 
-def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame, files: int) -> DataFrame:
+def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame, width: int, files: int) -> DataFrame:
     """Links between different components within ``buckets`` (key, node), stored: enough to join what belongs together.
 
     Two nodes are compared in the first bucket that they share and in no other.
@@ -283,7 +289,7 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame, fi
     def confirm(batches):
         import pyarrow as pa
 
-        unpack = _set_of()
+        unpack = _set_of(width)
         for key, nodes, component, sigs, bands, loads in searches(batches, 5):
             root = {c: c for c in component.tolist()}
 
@@ -348,19 +354,21 @@ def connected_components(edges: DataFrame, files: int | None = None) -> DataFram
     return out
 
 
-def near_duplicates(docs: DataFrame, *, with_text_key: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = WIDTH, with_text_key: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``.
 
     ``component_id`` is the least doc_id that links lead to, itself included;
     ``kept`` says that it is the row's own. A text without words is linked with
     nothing. Null doc_ids take part in links, but a component's id is null only
     if all of its doc_ids are, and then its rows are all kept. Repeated rows are
-    copies of each other and all kept if one is.
+    copies of each other and all kept if one is. A text of any length is compared
+    whole, in memory of one task; an empty table gives an empty one; no column
+    but doc_id and text is read.
 
     ``with_text_key`` adds ``text_key``, a hash of the text, and ``first``: of a
     component's rows, those of the least doc_id and then of the least text_key.
     """
-    rows = shingle_features(docs, with_text_key)
+    rows = shingle_features(docs, width, with_text_key)
     files = 2 + rows.count() // ROWS_A_FILE
     nodes = stored(rows.where("n_shingles > 0").groupBy("fp").agg(F.min("rid").alias("node")), "nodes", files)
     keys = rows.select(F.col("rid").alias("node"), "bands").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
@@ -368,19 +376,19 @@ def near_duplicates(docs: DataFrame, *, with_text_key: bool = False) -> DataFram
     buckets = stored(keys.join(hubs, "key").select("key", "node", "hub"), "buckets")
     loads = rows.select("rid", "sig", "bands", "body")
     pairs = stored(buckets.where("node <> hub").select("hub", "node").distinct(), "pairs", files)
-    links = _confirmed(pairs, loads, files)
+    links = _confirmed(pairs, loads, width, files)
     last = connected_components(links, files)
     # Without an open bucket the pairs are none, and nothing is left to do.
     second = stored(_second_hubs(buckets.select("key", "node"), last), "pairs", files)
     spent = [buckets, pairs, second, links]
     if not second.isEmpty():
-        more = _confirmed(second, loads, files)
+        more = _confirmed(second, loads, width, files)
         spent.append(more)
         every = links.unionByName(more)
         if not more.isEmpty():
             spent.append(last)
             last = connected_components(every, files)
-        hidden = _hidden_links(buckets.select("key", "node"), last, loads, files)
+        hidden = _hidden_links(buckets.select("key", "node"), last, loads, width, files)
         spent.append(hidden)
         if not hidden.isEmpty():
             spent.append(last)

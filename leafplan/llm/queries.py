@@ -13,19 +13,21 @@ SOURCE_WEIGHTS = {"src1": 2.0, "src2": 0.5}
 SHARDS = 40
 END_ID = 2
 
-#: Site rules and, for hosts that they leave open, patterns of unwanted sites.
-URL_RULES = (
-    url_filter.site_rule("com/", "allow"),
-    url_filter.site_rule("example.com/en/", "block"),
-    url_filter.site_rule("www.example.com/en/", "allow"),
-    url_filter.site_rule("net/es/", "block"),
-    url_filter.site_rule("net/fr/", "block"),
-    url_filter.UrlRule("spam-farm", "block", r"(^|[./-])spam-farm[./-]", ("spam", "farm")),
-    url_filter.UrlRule("cheap-pills", "block", r"(^|[./-])cheap-pills[./-]", ("cheap", "pills")),
-    url_filter.UrlRule("casino-win", "block", r"(^|[./-])casino-win[./-]", ("casino", "win")),
-    url_filter.UrlRule("adult-x", "block", r"(^|[./-])adult-x[./-]", ("adult", "x")),
-    url_filter.UrlRule("free-bets", "block", r"(^|[./-])free-bets[./-]", ("free", "bets")),
-    url_filter.UrlRule("ads-track", "block", r"(^|[./-])ads-track[./-]", ("ads", "track")),
+#: Site rules and, for places that they leave open, words of unwanted sites.
+URL_RULES = tuple(
+    url_filter.parse_rules("""
+allow com/
+block example.com/en/
+allow www.example.com/en/
+block net/es/
+block net/fr/
+block ~spam-farm
+block ~cheap-pills
+block ~casino-win
+block ~adult-x
+block ~free-bets
+block ~ads-track
+""")
 )
 
 
@@ -41,50 +43,94 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, replicated to ``SOURCE_WEIGHTS`` and shuffled: their columns, ``copy`` and ``shuffle_key``.
+
+    Null texts count as empty. A row for each row drawn, repeats too; an empty table gives no rows.
+    """
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
 def op2_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of every document.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     return quality_rules.judge_quality(_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def op3_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and n_pretokens of every document.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), carry=["doc_id"])
 
 
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards, law ``key``; ``grown_shard`` is the place with a shard more.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     tree = sharding.even_tree(SHARDS)
     out = sharding.assign_shards(_table(spark, sf_dir, "documents"), tree, sharding.with_new_shard(tree))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op5_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an image, read back from its archive, with sizes, checksums and a feature.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     return media.media_table(_table(spark, sf_dir, "documents"), with_media=False)
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
 def op7_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files written.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     files = token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=END_ID)
     return token_files.read_token_files(files, with_ids=False)
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, pattern (of an unwanted site) and verdict of every page.
+
+    Null url: empty host and path. A row for each row, repeats too; an empty table gives no rows.
+    """
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "pattern", "verdict")
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, n_bytes, log_perplexity, threshold and kept of every document; fitted on the trusted rows of ``labels``.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     out = kn_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", "lang", "n_bytes", "log_perplexity", "threshold", "kept")
 
 
 def op10_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and checksums of the piece ids and of their decoding, of every document.
+
+    Null texts count as empty. A row for each row, repeats too; an empty table gives no rows.
+    """
     return piece_codec.piece_digests(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), carry=["doc_id"])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over all documents.
+
+    Null texts count as empty. A row for each row that the stages keep and draw, repeats too; an empty table gives no rows.
+    """
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
