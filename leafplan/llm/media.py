@@ -1,9 +1,10 @@
 """Media columns: documents as images in archives, read by a Spark data source.
 
 A payload is stored as the 8-bit grey samples of a PNG of 192 columns. Archives
-hold members one after another, then a directory (row number of the member,
-offset, length, CRC-32) and a footer, so any range of bytes can be read by
-itself. The data source ``leafplan_archive`` plans ranges of bytes over the
+hold members one after another, then a directory (doc_id, offset, lengths and
+CRC-32 of each member) in pages, a fence for each page (its first offset and
+CRC-32) and a footer, so a range of bytes is read by itself, with the fences and
+the pages that its members stand in. The data source ``leafplan_archive`` plans ranges of bytes over the
 archives, reads the members that begin in a range, streams them in bounded
 Arrow batches, and reads a member again from its offset if it fails.
 """
@@ -25,13 +26,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import append_columns, filesystem, new_folder, quoted
 
 WIDTH = 192
-MAGIC = b"LPARCH01"
+MAGIC = b"LPARCH02"
 #: A task begins a new archive beyond so many bytes, a read batch ends beyond so many.
 ARCHIVE_BYTES, BATCH_BYTES = 256 << 20, 8 << 20
 #: Bytes of an archive that one read partition covers.
 RANGE_BYTES = 8 << 20
 TRIES = 4
+#: Entries of a directory page.
+PAGE = 1024
 _ENTRY = np.dtype([("id", "<i8"), ("valid", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n_bytes", "<u8"), ("crc", "<u8")])
+_FENCE = np.dtype([("offset", "<u8"), ("crc", "<u8")])
+_FOOTER = struct.Struct("<QQQQ8s")
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -101,6 +106,14 @@ def image_feature(payload: bytes) -> str:
 # -- archives ----------------------------------------------------------------
 
 
+def directory_bytes(entries: list[tuple], at: int) -> bytes:
+    """The pages of a directory that begins at ``at``, their fences and the footer."""
+    table = np.array(entries, _ENTRY)
+    pages = [table[k : k + PAGE] for k in range(0, len(table), PAGE)]
+    fences = np.array([(int(p["offset"][0]), zlib.crc32(p.tobytes())) for p in pages], _FENCE).tobytes()
+    return table.tobytes() + fences + _FOOTER.pack(at, len(table), len(pages), zlib.crc32(fences), MAGIC)
+
+
 def write_archives(docs: DataFrame, folder: str | None = None, *, archive_bytes: int = ARCHIVE_BYTES) -> str:
     """Stores each row's text as a media member; the folder with the archives.
 
@@ -121,10 +134,10 @@ def write_archives(docs: DataFrame, folder: str | None = None, *, archive_bytes:
 
         def close():
             nonlocal out, entries, at
-            directory = np.array(entries, _ENTRY).tobytes()
-            out.write(directory + struct.pack("<QQQ", at, len(entries), zlib.crc32(directory)) + MAGIC)
+            tail = directory_bytes(entries, at)
+            out.write(tail)
             out.close()
-            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "bytes": [at + len(directory) + 32], "members": [len(entries)]})
+            row = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "bytes": [at + len(tail)], "members": [len(entries)]})
             out, entries, at = None, [], 0
             return row
 
@@ -208,12 +221,18 @@ def read_members(fs, path: str, size: int, start: int, stop: int) -> Iterator[tu
 
     def directory():
         with fs.open_input_file(path) as f:
-            foot = f.read_at(32, size - 32)
-            at, n, crc = struct.unpack("<QQQ", foot[:24])
-            raw = f.read_at(n * _ENTRY.itemsize, at)
-            if foot[24:] != MAGIC or zlib.crc32(raw) != crc:
+            at, n, pages, crc, magic = _FOOTER.unpack(f.read_at(_FOOTER.size, size - _FOOTER.size))
+            raw = f.read_at(pages * _FENCE.itemsize, at + n * _ENTRY.itemsize) if magic == MAGIC else b""
+            if magic != MAGIC or zlib.crc32(raw) != crc:
+                raise ValueError(f"{path}: damaged directory")
+            fences = np.frombuffer(raw, _FENCE)
+            first = max(0, int(np.searchsorted(fences["offset"], start, "right")) - 1)
+            last = int(np.searchsorted(fences["offset"], stop, "left"))
+            raw = f.read_at(min(n - first * PAGE, max(0, last - first) * PAGE) * _ENTRY.itemsize, at + first * PAGE * _ENTRY.itemsize)
+            entries = np.frombuffer(raw, _ENTRY)
+            if any(zlib.crc32(entries[(k - first) * PAGE : (k - first + 1) * PAGE].tobytes()) != fences["crc"][k] for k in range(first, last)):
                 raise ValueError(f"{path}: damaged directory")
-            return np.frombuffer(raw, _ENTRY)
+            return entries
 
     entries = _again(directory)
     mine = entries[(entries["offset"] >= start) & (entries["offset"] < stop)]
@@ -283,7 +302,10 @@ def media_table(docs: DataFrame, folder: str | None = None, *, with_media: bool
 
     One row for each row of ``docs``: ``doc_id, n_bytes`` (of the text as
     UTF-8), the columns of :func:`media_features`, and ``media`` if asked for.
-    An empty table gives an empty one.
+    A null text is stored like an empty one, a null doc_id comes back as null,
+    equal rows are members of their own with equal values, a text of any length
+    is one member (held whole by one task), and an empty table gives an empty
+    one. No column but doc_id and text is read.
     """
     members = read_archives(docs.sparkSession, write_archives(docs, folder))
     return media_features(members, carry=["doc_id", "n_bytes", *["media"] * with_media])
