@@ -47,6 +47,35 @@ def site_rule(rule: str, verdict: str) -> UrlRule:
     return UrlRule(rule, verdict, rf"^([^/?#]*\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(dict.fromkeys([*re.findall(r"[a-z0-9]+", host.lower()), *ended])), True)
 
 
+def parse_rules(text: str) -> list[UrlRule]:
+    """Rules from a list, one on each line; empty lines and those that begin with ``#`` are left out.
+
+    ``block example.com/en/`` and ``allow example.com/`` are site rules. A rule
+    whose place begins with ``~``, as in ``block ~cheap-pills``, fits where its
+    words stand in that order, joined by ``-``, between ``.``, ``/`` or ``-``,
+    in host or path. Of equal rules the first counts; equal places with different
+    verdicts are an error.
+    """
+    found: dict[str, UrlRule] = {}
+    for line in text.splitlines():
+        verdict, _, name = line.strip().partition(" ")
+        name = name.strip()
+        if not verdict or verdict.startswith("#"):
+            continue
+        if verdict not in ("allow", "block") or not name:
+            raise ValueError(f"not a rule: {line!r}")
+        if name.startswith("~"):
+            words = name[1:].strip()
+            rule = UrlRule(words, verdict, rf"(^|[./-]){re.escape(words)}[./-]", tuple(dict.fromkeys(re.findall(r"[a-z0-9]+", words))))
+            if not re.fullmatch(r"[a-z0-9]+(-[a-z0-9]+)*", words):
+                raise ValueError(f"not a rule: {line!r}")
+        else:
+            rule = site_rule(name if "/" in name else name + "/", verdict)
+        if found.setdefault(rule.name, rule).verdict != verdict:
+            raise ValueError(f"two verdicts for {rule.name!r}")
+    return list(found.values())
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or without ``://``."""
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
@@ -80,7 +109,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule], *, otherwise: str =
     ``rule`` names the winning site rule, ``pattern`` the winning other rule if
     no site rule fits; both null if none does, and then the verdict is
     ``otherwise``. A null or odd URL has empty host and path and fits no rule
-    that has a literal. Repeated rows are judged alike.
+    that has a literal. Repeated rows are judged alike, long URLs are read whole,
+    an empty table gives an empty one, and input columns named like a new one,
+    without regard to case, are left out.
+
+    An index of over ``inline_tokens`` tokens is joined to the distinct places
+    of the URLs; rows without a place, however many, don't meet in one task.
     """
     if len({r.name for r in rules}) != len(rules):
         raise ValueError("rules need names of their own")
@@ -110,12 +144,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule], *, otherwise: str =
         rows = [(t, ranked[r.name], r.name, r.verdict, r.pattern, r.site) for t, rs in index.items() for r in rs]
         schema = T.StructType([T.StructField(n, k) for n, k in (("token", T.StringType()), ("rank", T.IntegerType()), ("name", T.StringType()), ("verdict", T.StringType()), ("regex", T.StringType()), ("site", T.BooleanType()))])
         table = pages.sparkSession.createDataFrame(rows, schema)
-        ats = base.select("__lp_at").distinct()
+        ats = base.select("__lp_at").where("__lp_at <> ''").distinct()
         asked = ats.withColumn("token", F.explode(_tokens(F.col("__lp_at"))))
         fits = asked.join(table, "token").where(F.regexp_like("__lp_at", "regex"))
         best = fits.groupBy("__lp_at").agg(F.min(F.struct("rank", "name", "verdict", "regex", "site")).alias("__lp_best"))
         more = F.array_min(F.filter(always, lambda r: F.regexp_like(F.col("__lp_at"), r["regex"])))
-        judged = base.join(best, "__lp_at", "left").withColumn("__lp_won", F.least("__lp_best", more))
+        # An empty place fits nothing of the index: its rows are dealt evenly, to find no partner.
+        lone = F.when(F.col("__lp_at") == "", F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long"))
+        best = best.withColumn("__lp_lone", F.lit(0).cast("long"))
+        judged = base.withColumn("__lp_lone", lone).join(best, ["__lp_at", "__lp_lone"], "left").withColumn("__lp_won", F.least("__lp_best", more))
     won = F.col("__lp_won")
     return judged.select(
         *[quoted(c) for c in held.columns],
