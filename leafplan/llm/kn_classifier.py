@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_bits, pieces_of, quoted, stored
+from .common import discard, hash_bits, pieces_of, quoted, stored
 
 ORDER, CLASS_BITS = 5, 6
 CLASSES = 1 << CLASS_BITS
@@ -44,7 +44,9 @@ QUANTILE = 0.995
 #: Steps of the grid of log perplexities.
 GRID = 1e-4
 #: Characters in a block, shards of the counts, rows of documents for each copy of a shard.
-BLOCK_CHARS, SHARDS, ROWS_A_COPY = 2_000_000, 64, 1_000_000
+BLOCK_CHARS, SHARDS, ROWS_A_COPY = 2_000_000, 64, 500_000
+#: Files of the tables of orders 4 and 3, which hold 2 ** 24 and 2 ** 18 grams at most.
+LEVEL_FILES = 4
 
 
 def byte_classes() -> np.ndarray:
@@ -170,15 +172,18 @@ def train(trusted: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, Low]:
                 yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
 
     table = stored(trusted.select(F.coalesce(quoted("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    # Each order is made once, from the one above it; they shrink, and orders 2 and 1 are tiny.
     levels = {ORDER: table}
     for order in range(ORDER - 1, 0, -1):
-        levels[order] = levels[order + 1].groupBy(F.col("gram").bitwiseAND(F.lit(_bits(order))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        less = levels[order + 1].groupBy(F.col("gram").bitwiseAND(F.lit(_bits(order))).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels[order] = stored(less, f"grams{order}", LEVEL_FILES) if order > 2 else less
     # At most 4 rows for each order, 4096 of order 2 and 64 of order 1 come to the driver.
     of_counts = {o: {r["n"]: r["k"] for r in t.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()} for o, t in levels.items()}
     t2, t1 = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES)
     for into, order in ((t2, 2), (t1, 1)):
         for r in levels[order].collect():
             into[r["gram"]] = r["n"]
+    discard(levels[4], levels[3])
     low = low_model(t1, t2.reshape(CLASSES, CLASSES), tuple(discounts(*(of_counts[o].get(k, 0) for k in (1, 2, 3, 4))) for o in range(1, ORDER + 1)))
 
     def pack(batches):
@@ -341,12 +346,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE)
     bytes has no perplexity and is not kept. Without trusted text there are no
     thresholds, and every other document is kept. A null language is judged by
     its own rows, as any other; rows of equal doc_id and text are judged alike.
+    A long text is a block of its own, held whole by one task; an empty table
+    gives an empty one; no column but doc_id, text and lang is read.
     """
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = stored(good.withColumn("held", hash_bits("held-out", F.col("doc_id")) < F.lit(int(HELD_OUT * (1 << 52)))), "trusted")
     counts, low = train(texts_among(docs, trusted.where("not held").select("doc_id")))
     scored = stored(score(docs, counts, low), "scores")
-    limits = stored(thresholds(scored.join(trusted.where("held").select("doc_id"), "doc_id", "left_semi"), quantile), "thresholds")
+    limits = stored(thresholds(scored.join(trusted.where("held").select("doc_id"), "doc_id", "left_semi"), quantile), "thresholds", 1)
     general = limits.where("lang is null").first()
     # A row for each language that has held-out documents: a few, which the planner broadcasts by their size.
     own = limits.where("lang is not null").select(F.col("lang").alias("__lp_lang"), "threshold")

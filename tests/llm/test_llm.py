@@ -304,14 +304,62 @@ def test_members_are_read_again_by_offset(spark, docs):
     assert parts == whole
 
 
+def test_directories_are_read_by_page(monkeypatch, tmp_path):
+    """A range reads the pages that its members stand in, and a damaged page is an error of the ranges that need it."""
+    monkeypatch.setattr(media, "PAGE", 4)
+    rnd, entries, body = random.Random(2), [], b""
+    for k in range(30):
+        m = rnd.randbytes(rnd.randrange(1, 40))
+        entries.append((k, 1, len(body), len(m), 0, zlib.crc32(m)))
+        body += m
+    raw = body + media.directory_bytes(entries, len(body))
+    (tmp_path / "a").write_bytes(raw)
+    fs, path = common.filesystem(f"file://{tmp_path}/a")
+    whole = [(e[0], body[e[2] : e[2] + e[3]]) for e in entries]
+    for step in (1, 7, 50, 10_000):
+        got = [(int(e["id"]), m) for a in range(0, len(body), step) for e, m in media.read_members(fs, path, len(raw), a, a + step)]
+        assert got == whole
+    bad = bytearray(raw)
+    bad[len(body) + 5 * media._ENTRY.itemsize] ^= 1
+    (tmp_path / "a").write_bytes(bytes(bad))
+    assert [m for _, m in media.read_members(fs, path, len(raw), entries[20][2], len(body))] == [m for _, m in whole[20:]]
+    monkeypatch.setattr(media, "TRIES", 1)
+    with pytest.raises(ValueError):
+        list(media.read_members(fs, path, len(raw), 0, len(body)))
+
+
+def test_media_are_plain_images_with_a_mean_hash(docs):
+    """A decoder of the bare format and sums by loops give the stored samples and the feature."""
+    texts = [t for t, in docs.select("text").limit(12).collect()] + ["", "x", "ab" * 5000]
+    for text in texts:
+        payload = media.pad(text.encode())
+        png = media.to_png(payload)
+        at, parts = 8, {}
+        while at < len(png):
+            n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            parts[kind] = png[at + 8 : at + 8 + n]
+            assert zlib.crc32(png[at + 4 : at + 8 + n]).to_bytes(4, "big") == png[at + 8 + n : at + 12 + n]
+            at += 12 + n
+        w, h = (int.from_bytes(parts[b"IHDR"][k : k + 4], "big") for k in (0, 4))
+        rows = [zlib.decompress(parts[b"IDAT"])[k * (w + 1) : (k + 1) * (w + 1)] for k in range(h)]
+        assert parts[b"IHDR"][8:] == b"\x08\0\0\0\0" and all(r[0] == 0 for r in rows) and b"".join(r[1:] for r in rows) == payload
+        cells = []
+        for i in range(8):
+            low = min(i * h // 8, h - 1)
+            high = max(low + 1, (i + 1) * h // 8)
+            cells += [sum(sum(r[1 + j * 24 : 25 + j * 24]) for r in rows[low:high]) / (24 * (high - low)) for j in range(8)]
+        bits = "".join("1" if c > sum(cells) / 64 + 1e-9 else "0" for c in cells)
+        assert media.image_feature(payload) == f"{int(bits, 2):016x}:{sum(payload) * 1000 // len(payload)}"
+
+
 # 6 ------------------------------------------------------------------------------
 
 
-def slow_components(rows):
+def slow_components(rows, width=2):
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
-        sets.append({tuple(w)} if len(w) == 1 else set(zip(w, w[1:])))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
     root = list(range(len(rows)))
 
     def top(k):
@@ -329,9 +377,9 @@ def slow_components(rows):
     return sorted((i, len(sets[k]), min((x for x in ids[top(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows) if i is not None)
 
 
-def dedup(spark, rows):
+def dedup(spark, rows, width=2):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    out = near_dedup.near_duplicates(df).collect()
+    out = near_dedup.near_duplicates(df, width=width).collect()
     assert len(out) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in out if r.doc_id is not None)
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in out if r.doc_id is not None)
 
@@ -339,8 +387,10 @@ def dedup(spark, rows):
 def test_near_duplicates(spark, rows):
     given = [(r.doc_id, r.text) for r in rows]
     assert dedup(spark, given) == slow_components(given)
-    given = [(r[0], r[1]) for r in ODD]
-    assert dedup(spark, given) == slow_components(given)
+    assert dedup(spark, given, 5) == slow_components(given, 5)
+    given = [(r[0], r[1]) for r in ODD] + [(30 + k, t) for k, t in enumerate(["a b c", "A b c", "a b", "a b c d", "b c d", "x a b c d e", "a b c d e"])]
+    for width in (1, 2, 5):
+        assert dedup(spark, given, width) == slow_components(given, width)
     assert dedup(spark, [(None, None)]) == []
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
@@ -463,6 +513,29 @@ def test_damaged_file(tmp_path):
 # 8 ------------------------------------------------------------------------------
 
 
+def test_url_rules_by_thousands(spark):
+    """A list of rules is read, indexed and joined; plain loops give the same verdicts."""
+    import re
+
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choice("abcdef") for _ in range(3))
+    lines = ["# sites", ""] + sorted({f"{name()}.{name()}/{name()}/" for _ in range(3000)} | {f"{name()}/" for _ in range(60)} | {f"~{name()}-{name()}" for _ in range(500)})
+    rules = url_filter.parse_rules("\n".join(x and (x if x[0] == "#" else f"{rnd.choice(['allow', 'block'])} {x}") for x in lines))
+    assert len(rules) > 3000
+    urls = [None, "", "no url"] * 50 + ["http://" + ".".join(name() for _ in range(rnd.randrange(1, 4))) + "/" + "/".join(name() + rnd.choice(["", "-" + name()]) for _ in range(3)) + "/" for _ in range(400)]
+    urls += [f"https://www.{r.name}index" for r in rules[:300] if r.site]
+    got = url_filter.filter_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string"), rules).collect()
+    order, hits = sorted(rules, key=lambda r: (not r.site, -len(r.name), r.name)), 0
+    for r in got:
+        won = next((x for x in order if re.search(x.pattern, r.host + r.path)), None)
+        hits += won is not None
+        assert (r.rule, r.pattern, r.verdict) == ((won.name, None, won.verdict) if won and won.site else (None, won.name, won.verdict) if won else (None, None, "allow"))
+    assert len(got) == len(urls) and hits > 300
+    for bad in ("deny x/", "block", "block ~a b", "allow x/\nblock x/"):
+        with pytest.raises(ValueError):
+            url_filter.parse_rules(bad)
+
+
 @pytest.mark.parametrize("inline", [256, 0])
 def test_urls(spark, inline):
     urls = ["http://example.com/en/x", "https://WWW.Example.com/en/", "http://com", "http://com/", "nothing", None, "", "http://a.net/es/1?q", "http://a.net/esp", "http://badexample.com/en/", "http://x.spam-farm.org/a", "http://spam-farm.example.com/a", "http://h.org#/en/", "http://u@h:80/p", "x://y://z/net/es/", "http://a.net/fr/"]
@@ -637,7 +710,7 @@ def test_pipeline(spark):
     good = [r for r in kept.collect() if slow_counts(r.text)[0] >= 10 and 5 * slow_counts(r.text)[4] <= slow_counts(r.text)[0] and not any(x.rejects(quality_rules.Text(r.text)) for x in quality_rules.RULES)]
     assert {r.doc_id for r in ruled.collect()} == {r.doc_id for r in good}
     one = common.stored(pipeline.near_dedup_stage(spark, ruled, sf), "t")
-    assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, _, c in slow_components([(r.doc_id, r.text) for r in ruled.collect()]) if i == c)
+    assert sorted(r.doc_id for r in one.collect()) == sorted(i for i, _, c in slow_components([(r.doc_id, r.text) for r in ruled.collect()], 5) if i == c)
     mixed = common.stored(pipeline.source_mixing(spark, one, sf), "t")
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in one.collect()} and mixed.columns == docs.columns
     last = pipeline.piece_encoding(spark, mixed, sf)
