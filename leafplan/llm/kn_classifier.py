@@ -45,6 +45,8 @@ QUANTILE = 0.995
 GRID = 1e-4
 #: Characters in a block, shards of the counts, rows of documents for each copy of a shard.
 BLOCK_CHARS, SHARDS, ROWS_A_COPY = 2_000_000, 64, 500_000
+#: Discounts of counts 1, 2 and more where the text doesn't give them, and the least that it may give.
+USUAL_DISCOUNTS, LEAST_DISCOUNT = (0.5, 1.0, 1.5), 0.05
 #: Files of the tables of orders 4 and 3, which hold 2 ** 24 and 2 ** 18 grams at most.
 LEVEL_FILES = 4
 
@@ -101,12 +103,18 @@ class Low:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """Discounts for counts 1, 2 and more; where counts of counts are missing, the usual single one."""
-    if min(n1, n2, n3) <= 0:
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        return d, d, d
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(k - (k + 1) * y * b / a, 0.0), float(k)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+    """Discounts for counts 1, 2 and more, each over 0 and at most its count.
+
+    Where counts of counts are missing or give anything else, as in an order whose
+    grams have nearly all been seen, the usual fixed ones: without a discount an
+    unseen symbol would have no probability at all.
+    """
+    if min(n1, n2, n3) > 0:
+        y = n1 / (n1 + 2 * n2)
+        d = tuple(k - (k + 1) * y * b / a for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+        if all(LEAST_DISCOUNT <= x <= k for k, x in enumerate(d, 1)):
+            return d
+    return USUAL_DISCOUNTS
 
 
 def _less(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -279,6 +287,8 @@ def score(docs: DataFrame, counts: DataFrame, low: Low, shards: int = SHARDS) ->
                 if at != s:
                     at, model = s, Shard(np.zeros(0, np.uint32), np.zeros(0), low)
                 p = model.log_probabilities(np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.uint32))
+                if not np.isfinite(p).all():
+                    raise RuntimeError("the model gives a symbol no probability")
                 found.append((block, s, p.astype(np.float32).tobytes()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.binary()))], names=["block", "shard", "load"])

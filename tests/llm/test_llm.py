@@ -599,6 +599,20 @@ def test_perplexity_against_dictionaries(spark, rows):
     assert every == pytest.approx([1, 1, 1])
 
 
+def test_every_symbol_has_a_probability(spark):
+    """Where all short grams have been seen often, counts of counts say nothing, and unseen symbols must still be possible."""
+    for n in ((0, 0, 0, 0), (302, 34, 100, 90), (5, 1, 4, 9), (1, 1, 1, 50), (10, 5, 3, 2)):
+        d = kn_classifier.discounts(*n)
+        assert all(0 < x <= k for k, x in enumerate(d, 1))
+    rnd = random.Random(6)
+    trusted = spark.createDataFrame([("".join(rnd.choice("abcd ") for _ in range(4000)),) for _ in range(20)], "text string")
+    counts, low = kn_classifier.train(trusted)
+    assert (low.p2 > 0).all()
+    odd = spark.createDataFrame([(1, "ab cd", "x"), (2, "zz 9!|.,-", "x"), (3, "é\x00中", "x")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.log_perplexity for r in kn_classifier.score(odd, counts, low).collect()}
+    assert all(np.isfinite(v) for v in got.values()) and got[1] < got[2]
+
+
 def test_classifier(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = kn_classifier.classify(docs, labels)
