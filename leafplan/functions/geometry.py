@@ -59,6 +59,7 @@ def either(values: Sequence[Column]) -> Column:
 
 
 def unit(value: Column) -> Column:
+    """``value`` kept between 0 and 1. Null gives 0, as least and greatest leave nulls out."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 

@@ -116,20 +116,31 @@ def finalize_problems(records: DataFrame, least: int, most: int) -> DataFrame:
 
 
 def first_free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """Adds ``free_name``: the wanted name, or its first form with ``_1``, ``_2``... that isn't taken.
-
-    Several rows that want one name get forms in order of their path. The forms
-    tried are one more than there are rows and taken names that begin alike.
-    Columns: path, name; taken: name.
+    """Adds ``free_name``: the wanted name, or its first form with ``_1``, ``_2``... that no one has.
+
+    Of rows that want one name, the first by path has it unless it is taken, and
+    the others the next free numbers in order of their path. A number isn't free
+    if that form is taken or wanted by any row, so all names differ. The k-th
+    free number is k and as many more as blocked ones stand before it, which one
+    running count by name gives: nothing is gathered, and work and memory are as
+    the rows. Columns: path (unique), name; taken: name. Null names stay null.
     """
     from pyspark.sql import Window as W
 
-    stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    rows = wanted.withColumn("rn", F.row_number().over(W.partitionBy("name").orderBy("path"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("name")))
-    held = taken.select(F.regexp_replace("name", r"(_\d+)?\.[^.]*$", "").alias("base"), F.col("name").alias("held")).distinct()
-    per = held.groupBy("base").agg(F.collect_set("held").alias("held"))
-    names = rows.select("name", stem.alias("base"), "n").distinct().join(per, "base", "left")
     ext = F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    forms = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") + F.coalesce(F.size("held"), F.lit(0))), lambda k: F.when(k == 0, F.col("name")).otherwise(F.concat(F.col("base"), F.lit("_"), k.cast("string"), ext)))
-    free = F.filter(forms, lambda f: ~F.coalesce(F.array_contains("held", f), F.lit(False)))
-    return rows.join(names.select("name", free.alias("free")), "name").select("path", "name", F.element_at("free", F.col("rn").cast("int")).alias("free_name"))
+    base = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    number = F.regexp_extract(base("name"), r"_([1-9][0-9]{0,17})$", 1)
+    named = wanted.select("path", "name")
+    # Names that can't be had: those taken, and as numbered forms those wanted as well.
+    held = taken.select("name").withColumn("gone", F.lit(True)).unionByName(named.select("name").withColumn("gone", F.lit(False))).groupBy("name").agg(F.bool_or("gone").alias("gone"))
+    blocked = held.where(number != "").select(F.concat(F.regexp_replace(base("name"), r"_[0-9]+$", ""), ext).alias("name"), number.cast("long").alias("k"))
+    order = W.partitionBy("name").orderBy("path")
+    rows = named.where("name is not null").join(held.where("gone").select("name", "gone"), "name", "left")
+    rows = rows.withColumn("k", F.row_number().over(order) - F.when(F.col("gone"), 0).otherwise(1)).select("path", "name", "k")
+    # A blocked number b with i blocked ones up to it stands before the k-th free one if b - i < k.
+    stops = blocked.withColumn("i", F.row_number().over(W.partitionBy("name").orderBy("k"))).select(F.lit(None).cast("string").alias("path"), "name", (F.col("k") - F.col("i")).alias("at"), F.lit(1).alias("stop"), F.lit(None).cast("long").alias("k"))
+    both = rows.select("path", "name", F.col("k").alias("at"), F.lit(0).alias("stop"), F.col("k").cast("long").alias("k")).unionByName(stops)
+    before = F.sum("stop").over(W.partitionBy("name").orderBy("at", "stop").rowsBetween(W.unboundedPreceding, W.currentRow))
+    numbered = both.withColumn("n", F.col("k") + before).where("stop = 0")
+    free = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat(base("name"), F.lit("_"), F.col("n").cast("string"), ext))
+    return numbered.select("path", "name", free.alias("free_name")).unionByName(named.where("name is null").withColumn("free_name", F.lit(None).cast("string")))

@@ -96,9 +96,14 @@ def unknown_predictions(truth: DataFrame, predictions: DataFrame) -> DataFrame:
     return predictions.join(truth.select("sample_id"), "sample_id", "left_anti")
 
 
-def percentiles(values: Column, suffix: str) -> list[Column]:
-    """Mean and interpolated 50th, 95th and 99th percentiles, null without values."""
-    parts = F.percentile(values, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+def percentiles(values: Column, suffix: str, accuracy: int | None = None) -> list[Column]:
+    """Mean and interpolated 50th, 95th and 99th percentiles, null without values.
+
+    They are exact, which takes memory as the distinct values of a group;
+    ``accuracy`` asks for a sketch instead, off by a rank in that many at most.
+    """
+    points = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    parts = F.percentile(values, points) if accuracy is None else F.percentile_approx(values, points, F.lit(accuracy))
     return [F.avg(values).alias(f"mean_{suffix}"), *[F.get(parts, i).alias(f"p{k}_{suffix}") for i, k in enumerate((50, 95, 99))]]
 
 
@@ -106,50 +111,84 @@ def _whole(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
-def metrics(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def metrics(scored: DataFrame, by: tuple[str, ...] = (), accuracy: int | None = None) -> DataFrame:
     """The metric block of each group of ``by`` (one row without).
 
-    Corner errors are per corner, so percentiles run over exploded corners, as a
-    second aggregate that is joined by the group.
+    Corner errors are per corner: each sample becomes four rows, of which the
+    first counts for the sample, so that one aggregate over one scan serves both.
+    ``accuracy`` is that of :func:`percentiles`.
     """
-    rate = lambda n: F.when(F.count(F.lit(1)) > 0, n / F.count(F.lit(1))).otherwise(F.lit(0.0))
-    invalid = F.count_if(F.coalesce(F.col("failure_reason") == "invalid_geometry", F.lit(False)))
-    main = scored.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        F.count_if("detected").alias("detected_count"),
-        F.coalesce(rate(F.count_if("detected")), F.lit(0.0)).alias("detection_success_rate"),
+    corner = lambda c: F.get(c, F.col("__k")).alias(c)
+    first = F.col("__k") == 0
+    held = scored.select(*by, "detected", "polygon_iou", "failure_reason", "corner_px", "corner_normalized", "raw_corner_px")
+    rows = held.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    rows = rows.select(*by, "__k", *[F.when(first, F.col(c)).alias(c) for c in ("detected", "polygon_iou", "failure_reason")], *map(corner, ("corner_px", "corner_normalized", "raw_corner_px")))
+    n = F.count_if(first)
+    rate = lambda k: F.coalesce(k / F.nullif(n, F.lit(0)), F.lit(0.0))
+    found = F.count_if("detected")
+    invalid = F.count_if(F.col("failure_reason") == "invalid_geometry")
+    return rows.groupBy(*by).agg(
+        n.alias("sample_count"),
+        found.alias("detected_count"),
+        rate(found).alias("detection_success_rate"),
         invalid.alias("false_detection_invalid_geometry_count"),
-        F.coalesce(rate(invalid), F.lit(0.0)).alias("false_detection_rate"),
+        rate(invalid).alias("false_detection_rate"),
         F.count("polygon_iou").alias("polygon_iou_count"),
         F.avg("polygon_iou").alias("mean_iou"),
-        F.count_if(F.coalesce(F.col("detected") & (F.col("polygon_iou") < 0.5), F.lit(False))).alias("silent_wrong_crop_count"),
+        F.count_if(F.col("detected") & (F.col("polygon_iou") < 0.5)).alias("silent_wrong_crop_count"),
+        F.count("corner_px").alias("corner_error_count"),
+        *percentiles(F.col("corner_px"), "corner_error_px", accuracy),
+        *percentiles(F.col("corner_normalized"), "normalized_corner_error", accuracy),
+        F.count("raw_corner_px").alias("raw_corner_error_count"),
+        F.avg("raw_corner_px").alias("mean_raw_corner_error_px"),
     )
-    both = F.explode(F.arrays_zip("corner_px", "corner_normalized")).alias("c")
-    corners = scored.select(*by, both).select(*by, "c.corner_px", "c.corner_normalized").groupBy(*by).agg(F.count("corner_px").alias("corner_error_count"), *percentiles(F.col("corner_px"), "corner_error_px"), *percentiles(F.col("corner_normalized"), "normalized_corner_error"))
-    raw = scored.select(*by, F.explode("raw_corner_px").alias("r")).groupBy(*by).agg(F.count("r").alias("raw_corner_error_count"), F.avg("r").alias("mean_raw_corner_error_px"))
-    out = main.join(corners, list(by), "left").join(raw, list(by), "left") if by else main.crossJoin(F.broadcast(corners)).crossJoin(F.broadcast(raw))
-    return out.fillna(0, ["corner_error_count", "raw_corner_error_count"])
+
+
+def memory_summary(predictions: DataFrame, by: tuple[str, ...] = (), column: str = "memory_peak_bytes") -> DataFrame:
+    """Count, mean, percentiles and greatest of the known peaks of memory; all null where none is known."""
+    value = F.col(column).cast("double")
+    return predictions.groupBy(*by).agg(F.count(column).alias("n"), *percentiles(value, "memory_bytes"), F.max(value).alias("max_memory_bytes"))
 
 
 def failure_taxonomy(scored: DataFrame) -> DataFrame:
     return scored.where("failure_reason is not null").groupBy("failure_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bins of a normalised error of 1; what is over 64 shares one.
+ERROR_BINS = 1 << 14
+
+
 def scenario_metrics(scored: DataFrame) -> DataFrame:
-    """Metrics by scenario tag; here the 95th percentile is the nearest rank of sample means."""
+    """Metrics by scenario tag; here the 95th percentile is the nearest rank of sample means.
+
+    Equal errors of a tag are counted first, then errors meet in bins, and only
+    the bins of a tag are brought in order: the wanted rank is looked up in the
+    one bin that holds it, so no task sorts all the rows of a tag.
+    """
     tags = F.when(F.size("scenario_tags") > 0, F.col("scenario_tags")).otherwise(F.array(F.lit("untagged")))
     mean = F.aggregate("corner_normalized", F.lit(0.0), lambda a, v: a + v) / F.size("corner_normalized")
-    rows = scored.withColumn("tag", F.explode(tags)).withColumn("error", F.when(F.col("corner_normalized").isNotNull(), mean))
-    # The nearest rank needs the sorted errors of a tag: a window ranks them, nothing is gathered.
-    order = W.partitionBy("tag").orderBy(F.col("error").asc_nulls_last())
-    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("errors", F.count("error").over(W.partitionBy("tag")))
-    nearest = F.greatest(F.lit(1), F.bround(0.95 * F.col("errors")).cast("int"))
-    return rows.groupBy("tag").agg(
-        F.count(F.lit(1)).alias("sample_count"),
-        (F.count_if("detected") / F.count(F.lit(1))).alias("detection_success_rate"),
-        F.avg("polygon_iou").alias("mean_iou"),
-        F.max(F.when((F.col("at") == nearest) & (F.col("errors") > 0), F.col("error"))).alias("p95_normalized_corner_error"),
-        F.count_if(F.coalesce(F.col("detected") & (F.col("polygon_iou") < 0.5), F.lit(False))).alias("silent_wrong_crop_count"),
+    wrong = F.coalesce(F.col("detected") & (F.col("polygon_iou") < 0.5), F.lit(False))
+    rows = scored.select(F.explode(tags).alias("tag"), mean.alias("error"), "detected", "polygon_iou", wrong.alias("wrong"))
+    sums = {"n": F.sum("n"), "found": F.sum("found"), "iou": F.sum("iou"), "ious": F.sum("ious"), "wrong": F.sum("wrong")}
+    again = [v.alias(k) for k, v in sums.items()]
+    equal = rows.groupBy("tag", "error").agg(F.count(F.lit(1)).alias("n"), F.count_if("detected").alias("found"), F.sum("polygon_iou").alias("iou"), F.count("polygon_iou").alias("ious"), F.count_if("wrong").alias("wrong"))
+    bin_ = F.when(F.col("error").isNotNull(), F.least(F.floor(F.col("error") * ERROR_BINS), F.lit(64 * ERROR_BINS)))
+    value = F.when(F.col("error").isNotNull(), F.struct("error", "n"))
+    bins = equal.withColumn("bin", bin_).groupBy("tag", "bin").agg(F.array_sort(F.collect_list(value)).alias("values"), F.sum(F.when(F.col("error").isNotNull(), F.col("n"))).alias("errors"), *again)
+    tag = W.partitionBy("tag")
+    upto = F.coalesce(F.sum("errors").over(tag.orderBy(F.col("bin").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0))
+    place = bins.withColumns({"upto": upto, "all": F.coalesce(F.sum("errors").over(tag), F.lit(0))})
+    nearest = F.greatest(F.lit(1), F.bround(0.95 * F.col("all")).cast("int"))
+    left = nearest - (F.col("upto") - F.coalesce("errors", F.lit(0)))
+    # The first value of the bin up to which so many errors stand.
+    found = F.aggregate("values", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("hit")), lambda a, v: F.struct((a["seen"] + v["n"]).alias("seen"), F.when((a["seen"] < F.col("left")) & (a["seen"] + v["n"] >= F.col("left")), v["error"]).otherwise(a["hit"]).alias("hit")))["hit"]
+    place = place.withColumn("left", left).withColumn("hit", F.when((F.col("errors") > 0) & (F.col("left") >= 1) & (F.col("left") <= F.col("errors")), found))
+    return place.groupBy("tag").agg(
+        F.sum("n").alias("sample_count"),
+        (F.sum("found") / F.sum("n")).alias("detection_success_rate"),
+        (F.sum("iou") / F.nullif(F.sum("ious"), F.lit(0))).alias("mean_iou"),
+        F.max("hit").alias("p95_normalized_corner_error"),
+        F.sum("wrong").alias("silent_wrong_crop_count"),
     )
 
 
@@ -228,12 +267,24 @@ def metric_deltas(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return current.select("metric", F.col("value").alias("current")).join(baseline.select("metric", F.col("value").alias("baseline")), "metric", "left").withColumn("delta", F.col("current") - F.col("baseline"))
 
 
-def corpus_hash(rows: DataFrame, text: str) -> DataFrame:
-    """One hash of all texts, whatever their order: of the sorted hashes of each.
+def corpus_hash(rows: DataFrame, text: str, digits: int = 3) -> DataFrame:
+    """One hash of all texts, whatever their order, as a tree: of hashes of sorted hashes.
 
-    Hashing each first bounds what the last step gathers to 64 characters a row.
+    The SHA-256 of each text goes to the bucket of its first ``digits`` hex
+    digits; a bucket's hash is of its sorted hashes put together, and the result
+    of the bucket hashes in order. So no task gathers more than a bucket, and the
+    last one ``16 ** digits`` hashes. It isn't the hash of the joined texts, which
+    is :func:`joined_hash`.
     """
-    return rows.select(F.sha2(F.col(text), 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("corpus_sha256"), F.count(F.lit(1)).alias("n"))
+    each = rows.select(F.sha2(F.col(text), 256).alias("h"))
+    buckets = each.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")
+    return buckets.agg(F.sha2(joined, 256).alias("corpus_sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def joined_hash(rows: DataFrame, text: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """SHA-256 of a group's texts in sorted order put together: for manifests of few documents, which one task joins."""
+    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ""), 256).alias("corpus_sha256"), F.count(text).alias("n"))
 
 
 def round_robin_sample(pool: DataFrame, n: int, seed: int, *, bucket: str = "bucket", key: str = "image_path") -> DataFrame:

@@ -20,12 +20,15 @@ WIRE = (
 )
 
 
-def decoded(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row a line with the wire fields; ``problem`` says what is wrong with it, null if nothing is."""
+def decoded(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a line with the wire fields; ``problem`` says what is wrong with it, null if nothing is.
+
+    ``keep`` names columns of ``lines`` to hand on in front.
+    """
     parsed = F.from_json(F.trim(column), WIRE, {"mode": "PERMISSIVE"})
     # The completion's count of warnings has the name of the others' warning text.
     count = F.when(F.get_json_object(column, "$.type") == "scan_completed", F.get_json_object(column, "$.warning").cast("int"))
-    rows = lines.select(F.col(column).alias("line"), parsed.withField("warningCount", count).alias("e"))
+    rows = lines.select(*keep, F.col(column).alias("line"), parsed.withField("warningCount", count).alias("e"))
     e = lambda c: F.col("e." + c)
     counters = F.coalesce(e("filesToProcess") == F.coalesce(e("new"), F.lit(0)) + F.coalesce(e("modified"), F.lit(0)) + F.coalesce(e("rebuild"), F.lit(0)), F.lit(False))
     path_needed = e("type").isin("file_started", "file_completed", "file_failed") & (F.coalesce(e("relativePath"), F.lit("")) == "")
@@ -37,7 +40,7 @@ def decoded(lines: DataFrame, column: str = "value") -> DataFrame:
         .when(path_needed, "relative_path")
         .when((e("type") == "scan_plan") & ~counters, "counters")
     )
-    return rows.select("line", problem.alias("problem"), "e.*")
+    return rows.select(*keep, "line", problem.alias("problem"), "e.*")
 
 
 def lenient(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -74,10 +77,12 @@ def run_state(events: DataFrame, run: str = "run_id", arrival: str = "seq") -> D
     Columns of ``events``: run, arrival and the wire fields. Counters sum the
     first terminal event of each path; ``scan_completed`` sets the totals, and
     terminal events after it add to them. It is one aggregate over the
-    deduplicated events; the values of the completion are carried by its rank.
+    deduplicated events; when a run was completed is aggregated before and
+    joined, so the events of a run don't meet in one task.
     """
     e = first_by_key(events, run, arrival)
-    e = e.withColumn("done_at", F.min(F.when(F.col("type") == "scan_completed", F.col(arrival))).over(W.partitionBy(run)))
+    ends = events.where("type = 'scan_completed'").groupBy(run).agg(F.min(arrival).alias("done_at"))
+    e = e.join(ends, run, "left")
     warned = F.coalesce("warning", F.lit("")) != ""
     done, fail = F.col("type") == "file_completed", F.col("type") == "file_failed"
     late = F.coalesce(F.col(arrival) > F.col("done_at"), F.lit(False))

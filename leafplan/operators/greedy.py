@@ -140,13 +140,18 @@ def merged_positions(rows: DataFrame, *, by: str, position: str, weight: str, ga
     return _grouped(rows.select(by, *cast), [position, weight], fn, f"{by} long, merged int, mean double, weight double")
 
 
-def suppressed_peaks(rows: DataFrame, *, by: str, position: str, value: str, distance: float, keep: int) -> DataFrame:
+def suppressed_peaks(rows: DataFrame, *, by: str, position: str, value: str, distance: float, keep: int, percentile: float | None = None) -> DataFrame:
     """Local maxima, the greatest first, without those within ``distance`` of one taken before.
 
-    Maxima are found by lag and lead; only they are gone through in turn.
+    Maxima are found by lag and lead; only they are gone through in turn. With
+    ``percentile`` (0 to 1) only those at or above that interpolated percentile
+    of their group's values count.
     """
     order = W.partitionBy(by).orderBy(position)
     top = rows.withColumn("__b", F.lag(value).over(order)).withColumn("__a", F.lead(value).over(order))
+    if percentile is not None:
+        limit = rows.groupBy(by).agg(F.percentile(value, F.lit(percentile)).alias("__limit"))
+        top = top.join(limit, by).where(F.col(value) >= F.col("__limit"))
     peaks = top.where(F.coalesce(F.col(value) > F.col("__b"), F.lit(True)) & F.coalesce(F.col(value) >= F.col("__a"), F.lit(True)))
 
     def fn(key, found):
@@ -236,12 +241,15 @@ def segment_families(segments: DataFrame, *, by: str = "image_id", cap: int = 32
     the pairs stay few however many segments an image has.
     Columns: by, h1, h2, v1, v2, combination.
     """
-    few = segments.where(F.col("orientation").isin("horizontal", "vertical")).withColumn("__rn", F.row_number().over(W.partitionBy(by, "orientation").orderBy("segment_id")))
-    few = few.where(F.col("__rn") <= cap + 1)
-    side = lambda k, n: few.where(F.col("orientation") == k).select(by, F.col("segment_id").alias(n))
-    first = lambda pairs, *names: pairs.withColumn("combination", F.row_number().over(W.partitionBy(by).orderBy(*names))).where(F.col("combination") <= cap)
-    pair = lambda k, a, b: first(side(k, a).join(side(k, b), by).where(F.col(a) < F.col(b)), a, b).drop("combination")
-    return first(pair("horizontal", "h1", "h2").join(pair("vertical", "v1", "v2"), by), "h1", "h2", "v1", "v2")
+    few = segments.where(F.col("orientation").isin("horizontal", "vertical")).select(by, "orientation", "segment_id")
+    few = few.withColumn("__rn", F.row_number().over(W.partitionBy(by, "orientation").orderBy("segment_id"))).where(F.col("__rn") <= cap + 1)
+    ids = lambda k: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("orientation") == k, F.col("segment_id")))))
+    # At most cap + 1 ids of each kind; pairs and combinations are made within the row.
+    both = few.groupBy(by).agg(ids("horizontal").alias("h"), ids("vertical").alias("v"))
+    pairs = lambda c: F.slice(F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 2, F.lit(cap + 1)), lambda b: F.struct(a.alias("a"), b.alias("b"))))), 1, cap)
+    both = both.select(by, pairs(F.col("h")).alias("h"), pairs(F.col("v")).alias("v"))
+    every = F.slice(F.flatten(F.transform("h", lambda h: F.transform(F.col("v"), lambda v: F.struct(h["a"].alias("h1"), h["b"].alias("h2"), v["a"].alias("v1"), v["b"].alias("v2"))))), 1, cap)
+    return both.select(by, F.posexplode(every).alias("at", "c")).select(by, "c.*", (F.col("at") + 1).alias("combination"))
 
 
 def majority_orientation(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:

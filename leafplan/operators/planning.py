@@ -39,11 +39,12 @@ def version_reasons(policy: ReprocessPolicy) -> Column:
 def outputs_exist(state: DataFrame, outputs: DataFrame, key: str = "relative_path", paths: str = "output_relative_paths") -> DataFrame:
     """``key, outputs_exist``: all recorded outputs are there; false if none is recorded.
 
-    A path that leaves the root counts as missing.
+    Paths are compared with ``/`` between their parts, however they were
+    recorded or listed. One that leaves the root counts as missing.
     """
-    each = state.select(key, F.explode_outer(paths).alias("output_path"))
-    there = outputs.select(F.col("path").alias("output_path"), F.lit(True).alias("there")).distinct()
-    safe = ~F.coalesce(F.array_contains(F.split(F.translate("output_path", "\\", "/"), "/"), "..") | F.col("output_path").startswith("/"), F.lit(True))
+    each = state.select(key, F.explode_outer(paths).alias("output_path")).withColumn("output_path", F.translate("output_path", "\\", "/"))
+    there = outputs.select(F.translate("path", "\\", "/").alias("output_path"), F.lit(True).alias("there")).distinct()
+    safe = ~F.coalesce(F.array_contains(F.split("output_path", "/"), "..") | F.col("output_path").startswith("/"), F.lit(True))
     return each.join(there, "output_path", "left").groupBy(key).agg(F.min(F.coalesce("there", F.lit(False)) & safe).alias("outputs_exist"))
 
 

@@ -3,7 +3,8 @@
 A candidate row has: image_id, candidate_id, source, mask_quad_iou,
 mask_coverage, edge_support, geometry_quality, border_contact (null: not
 reported), has_overlap, enclosed_length, enclosed_ridges, aligns, perimeter,
-aspect_ratio. One window by image ranks them; nothing is collected.
+aspect_ratio, and, if it is known, convex. One window by image ranks them;
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ RELIABILITY = {"mask_fit": 0.95, "mixed": 0.9, "contour": 0.65, "hough": 0.6}
 class ScoringPolicy:
     weights: Mapping[str, float] = field(default_factory=lambda: dict(WEIGHTS))
     reliability: Mapping[str, float] = field(default_factory=lambda: dict(RELIABILITY))
-    neutral: float = 0.5
+    neutral_mask: float = 0.5
+    neutral_edge: float = 0.5
+    neutral_aspect: float = 0.5
     border_touch: float = 0.8
     minimum_score: float = 0.55
     margin: float = 0.03
@@ -41,54 +44,114 @@ class ScoringPolicy:
             raise ValueError("weights and reliabilities must lie in [0, 1], and a weight must be positive")
 
 
-def components(policy: ScoringPolicy) -> dict[str, Column]:
-    """The value of each component; what is not known has its neutral value."""
+@dataclass(frozen=True)
+class Part:
+    """A component of a score: its value, and the neutral one where there is none."""
+
+    value: Column
+    neutral: float
+    policy: str
+    missing: str | None = None
+
+    @property
+    def known(self) -> Column:
+        return F.coalesce(self.value, F.lit(self.neutral))
+
+
+def _clipped(name: str) -> Column:
+    """A column between 0 and 1, null where it is null."""
+    return F.when(F.col(name).isNotNull(), unit(F.col(name).cast("double")))
+
+
+def components(policy: ScoringPolicy, columns: list[str]) -> dict[str, Part]:
+    """The components of a candidate's score, of what ``columns`` it has."""
     trust = F.lit(0.5)
     for source, value in policy.reliability.items():
         trust = F.when(F.col("source") == source, F.lit(value)).otherwise(trust)
     hint = policy.aspect_hint
+    aspect = F.lit(None).cast("double") if hint is None else unit(1.0 - F.abs(F.col("aspect_ratio") - hint) / hint)
     return {
-        "mask_iou": F.coalesce("mask_quad_iou", F.lit(policy.neutral)),
-        "mask_coverage": F.coalesce(unit(F.col("mask_coverage")), F.lit(policy.neutral)),
-        "mask_confidence": F.lit(policy.neutral if policy.mask_confidence is None else policy.mask_confidence),
-        "edge_support": F.coalesce("edge_support", F.lit(policy.neutral)),
-        "geometry": F.col("geometry_quality"),
-        "convexity": F.lit(1.0),
-        "border": F.when(F.col("border_contact"), policy.border_touch).otherwise(1.0),
-        "aspect": F.lit(policy.neutral) if hint is None else unit(1.0 - F.abs(F.col("aspect_ratio") - hint) / hint),
-        "source_reliability": trust,
+        "mask_iou": Part(F.col("mask_quad_iou"), policy.neutral_mask, "mask_quad_iou"),
+        "mask_coverage": Part(_clipped("mask_coverage"), policy.neutral_mask, "mask_coverage"),
+        "mask_confidence": Part(F.lit(policy.mask_confidence).cast("double"), policy.neutral_mask, "mask_confidence"),
+        "edge_support": Part(F.col("edge_support"), policy.neutral_edge, "edge_support"),
+        "geometry": Part(F.col("geometry_quality"), 0.0, "geometry_gate_quality"),
+        "convexity": Part(F.coalesce(_clipped("convex"), F.lit(1.0)) if "convex" in columns else F.lit(1.0), 0.0, "convexity"),
+        "border": Part(F.when(F.col("border_contact"), policy.border_touch).when(~F.col("border_contact"), 1.0), 1.0, "border_touch_allowed", "border_not_reported"),
+        "aspect": Part(aspect, policy.neutral_aspect, "soft_aspect_hint"),
+        "source_reliability": Part(trust, 0.5, "source_reliability"),
     }
 
 
-def with_scores(candidates: DataFrame, policy: ScoringPolicy | None = None, *, explain: bool = False) -> DataFrame:
-    """Adds ``final_score`` and, if asked for, ``breakdown`` (map of contributions)."""
-    policy = policy or ScoringPolicy()
-    total = sum(policy.weights.values())
-    parts = {k: v * (policy.weights[k] / total) for k, v in components(policy).items()}
+def _penalty_and_bonus(policy: ScoringPolicy) -> tuple[Column, Column, Column]:
+    """The share of the perimeter that ridges take, and what that and an alignment add."""
     length = F.greatest(F.coalesce("enclosed_length", F.lit(0.0)), F.lit(0.0))
-    ratio = F.least(F.lit(1.0), length / F.greatest(F.lit(1e-6), policy.length_scale * F.col("perimeter")))
     overlap = F.coalesce("has_overlap", F.lit(False))
-    penalty = F.when(overlap, policy.occlusion_weight * ratio).otherwise(0.0)
+    ratio = F.when(overlap, F.least(F.lit(1.0), length / F.greatest(F.lit(1e-6), policy.length_scale * F.col("perimeter")))).otherwise(0.0)
     bonus = F.when(overlap & F.coalesce("aligns", F.lit(False)), policy.alignment_bonus).otherwise(0.0)
+    return ratio, policy.occlusion_weight * ratio, bonus
+
+
+def final_score(policy: ScoringPolicy, columns: list[str]) -> Column:
+    """The score of a candidate under ``policy``."""
+    total = sum(policy.weights.values())
     score = None
-    for part in parts.values():
-        score = part if score is None else score + part
-    out = candidates.withColumn("final_score", unit(score - penalty + bonus))
-    if explain:
-        entries = {**parts, "occlusion_penalty": -penalty, "occlusion_alignment": bonus}
-        out = out.withColumn("breakdown", F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)]))
+    for name, part in components(policy, columns).items():
+        one = part.known * (policy.weights[name] / total)
+        score = one if score is None else score + one
+    _, penalty, bonus = _penalty_and_bonus(policy)
+    return unit(score - penalty + bonus)
+
+
+def breakdown(policy: ScoringPolicy, columns: list[str]) -> Column:
+    """Map of component to ``value, weight, normalized_weight, contribution, applicable, policy``."""
+    total = sum(policy.weights.values())
+
+    def entry(value: Column, weight: float, share: float, contribution: Column, applicable: Column, text: Column) -> Column:
+        return F.struct(value.cast("double").alias("value"), F.lit(float(weight)).alias("weight"), F.lit(float(share)).alias("normalized_weight"), contribution.cast("double").alias("contribution"), applicable.alias("applicable"), text.alias("policy"))
+
+    found = {}
+    for name, part in components(policy, columns).items():
+        weight, known = policy.weights[name], part.value.isNotNull()
+        found[name] = entry(part.known, weight, weight / total, part.known * (weight / total), known, F.when(known, part.policy).otherwise("neutral:" + (part.missing or part.policy)))
+    ratio, penalty, bonus = _penalty_and_bonus(policy)
+    overlap = F.coalesce("has_overlap", F.lit(False))
+    lined = overlap & F.coalesce("aligns", F.lit(False))
+    found["occlusion_penalty"] = entry(ratio, policy.occlusion_weight, 0.0, -penalty, overlap, F.when(overlap, "verified_occlusion_ridge_penalty").otherwise("neutral:no_occlusion"))
+    found["occlusion_alignment"] = entry(F.when(lined, 1.0).otherwise(0.0), policy.alignment_bonus, 0.0, bonus, lined, F.when(lined, "verified_occlusion_ridge_alignment").otherwise("neutral:no_occlusion"))
+    return F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)])
+
+
+#: One policy, or several that the column ``policy`` tells apart by name.
+Policies = ScoringPolicy | Mapping[str, ScoringPolicy]
+
+
+def _under(policies: Policies, of) -> Column:
+    """``of(policy)`` of the policy that holds for the row."""
+    if isinstance(policies, ScoringPolicy):
+        return of(policies)
+    out = F.lit(None)
+    for name, policy in policies.items():
+        out = F.when(F.col("policy") == name, of(policy)).otherwise(out)
     return out
 
 
-def ranked(candidates: DataFrame, policy: ScoringPolicy | None = None, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def with_scores(candidates: DataFrame, policy: Policies | None = None, *, explain: bool = False) -> DataFrame:
+    """Adds ``final_score`` and, if asked for, ``breakdown``."""
+    policy = policy or ScoringPolicy()
+    out = candidates.withColumn("final_score", _under(policy, lambda p: final_score(p, candidates.columns)))
+    return out.withColumn("breakdown", _under(policy, lambda p: breakdown(p, candidates.columns))) if explain else out
+
+
+def ranked(candidates: DataFrame, policy: Policies | None = None, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Adds ``final_score`` and ``rank``; ties go by coverage, geometry, source and id."""
     policy = policy or ScoringPolicy()
-    coverage = F.coalesce(unit(F.col("mask_coverage")), F.lit(policy.neutral))
+    coverage = F.coalesce(_clipped("mask_coverage"), _under(policy, lambda p: F.lit(p.neutral_mask)))
     order = W.partitionBy(*by).orderBy(F.desc("final_score"), coverage.desc(), F.desc("geometry_quality"), "source", "candidate_id")
     return with_scores(candidates, policy).withColumn("rank", F.row_number().over(order))
 
 
-def decisions(candidates: DataFrame, policy: ScoringPolicy | None = None, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def decisions(candidates: DataFrame, policy: Policies | None = None, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """Per image: status, the selected candidate, the two best scores and their difference.
 
     Within the margin of the best, in turn: the fewest enclosed ridges; the only
@@ -98,7 +161,7 @@ def decisions(candidates: DataFrame, policy: ScoringPolicy | None = None, by: tu
     policy = policy or ScoringPolicy()
     image = W.partitionBy(*by)
     rows = ranked(candidates, policy, by).withColumn("top", F.max("final_score").over(image))
-    near = rows.withColumn("near", F.col("top") - F.col("final_score") <= policy.margin)
+    near = rows.withColumn("near", F.col("top") - F.col("final_score") <= _under(policy, lambda p: F.lit(p.margin)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     overlap = F.coalesce("has_overlap", F.lit(False))
     near = near.withColumns({
@@ -134,20 +197,17 @@ def decisions(candidates: DataFrame, policy: ScoringPolicy | None = None, by: tu
         .when(next_["b"] - best["b"] >= 0.02, best["id"])
     )
     groups = groups.withColumn("resolved", resolved)
-    close = F.col("second_score").isNotNull() & (F.col("top_score") - F.col("second_score") <= policy.margin)
-    low = F.col("top_score") < policy.minimum_score
+    close = F.col("second_score").isNotNull() & (F.col("top_score") - F.col("second_score") <= _under(policy, lambda p: F.lit(p.margin)))
+    low = F.col("top_score") < _under(policy, lambda p: F.lit(p.minimum_score))
     status = F.when(low, "below_threshold").when(close & F.col("resolved").isNull(), "ambiguous").otherwise("selected")
     chosen = F.when(low, None).when(close, F.col("resolved")).otherwise(F.col("first_id"))
     return groups.select(*by, status.alias("status"), chosen.alias("selected_candidate_id"), "top_score", "second_score", F.bround(F.col("top_score") - F.col("second_score"), 4).alias("score_delta"))
 
 
 def sweep(candidates: DataFrame, policies: Mapping[str, ScoringPolicy]) -> DataFrame:
-    """Decisions under several policies, told apart by ``policy``."""
-    out = None
-    for name, policy in policies.items():
-        one = decisions(candidates, policy).withColumn("policy", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Decisions under several policies, told apart by ``policy``, in one pass over the candidates."""
+    each = candidates.withColumn("policy", F.explode(F.array(*map(F.lit, policies))))
+    return decisions(each, policies, ("policy", "image_id"))
 
 
 def top_k(rows: DataFrame, by: tuple[str, ...], order: list, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from leafplan.operators import evaluation as EV
 from leafplan.operators import events as E
 from leafplan.operators import greedy as GR
 from leafplan.operators import inventory as I
+from leafplan.operators import lifecycle as LC
 from leafplan.operators import planning as P
 from leafplan.operators import ranking as R
 from leafplan.operators import records as RC
@@ -271,10 +272,10 @@ def state_upsert(state):
 
 # -- ranking -------------------------------------------------------------------
 
-_SCORE = """WITH b AS (SELECT *, 0.4 * coalesce(mask_quad_iou, 0.5) + 0.05 * coalesce(least(1.0, greatest(0.0, mask_coverage)), 0.5) + 0.1 * 0.5 + 0.1 * coalesce(edge_support, 0.5) + 0.15 * geometry_quality + 0.05 + 0.05 * CASE WHEN border_contact THEN 0.8 ELSE 1.0 END + 0.05 * 0.5
+_SCORE = """WITH b AS (SELECT *, 0.4 * coalesce(mask_quad_iou, 0.5) + 0.05 * CASE WHEN mask_coverage IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, mask_coverage)) END + 0.1 * 0.5 + 0.1 * coalesce(edge_support, 0.5) + 0.15 * geometry_quality + 0.05 + 0.05 * CASE WHEN border_contact THEN 0.8 ELSE 1.0 END + 0.05 * 0.5
    + 0.1 * CASE source WHEN 'mask_fit' THEN 0.95 WHEN 'mixed' THEN 0.9 WHEN 'contour' THEN 0.65 WHEN 'hough' THEN 0.6 ELSE 0.5 END AS base,
    CASE WHEN has_overlap THEN 0.25 * least(1.0, greatest(enclosed_length, 0) / greatest(1e-6, 0.25 * perimeter)) ELSE 0 END AS penalty, CASE WHEN has_overlap AND aligns THEN 0.08 ELSE 0 END AS bonus FROM v_candidates),
- s AS (SELECT *, least(1.0, greatest(0.0, base / 1.05 - penalty + bonus)) AS final_score, coalesce(least(1.0, greatest(0.0, mask_coverage)), 0.5) AS cov_key FROM b),
+ s AS (SELECT *, least(1.0, greatest(0.0, base / 1.05 - penalty + bonus)) AS final_score, CASE WHEN mask_coverage IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, mask_coverage)) END AS cov_key FROM b),
  r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(final_score, 9) DESC, cov_key DESC, geometry_quality DESC, source, candidate_id) AS rank, max(final_score) OVER (PARTITION BY image_id) AS top FROM s)"""
 
 
@@ -284,14 +285,18 @@ def candidate_ranking(candidates):
     return rows.select("image_id", "candidate_id", *r6("final_score"), F.when(F.col("rank") <= 3, F.col("rank").cast("long")).alias("top_rank"))
 
 
-@query("v_candidates", sql=_SCORE + """, n AS (SELECT *, top - final_score <= 0.03 AS near, coalesce(mask_coverage, 0) AS cov, coalesce(mask_quad_iou, 0) AS iou, CASE WHEN has_overlap THEN enclosed_ridges ELSE 0 END AS ridges, has_overlap AND aligns AS lined FROM r),
+def _decision_sql(margin: float, least: float) -> str:
+    return _SCORE + f""", n AS (SELECT *, top - final_score <= {margin} AS near, coalesce(mask_coverage, 0) AS cov, coalesce(mask_quad_iou, 0) AS iou, CASE WHEN has_overlap THEN enclosed_ridges ELSE 0 END AS ridges, has_overlap AND aligns AS lined FROM r),
  few AS (SELECT *, near AND ridges = min(CASE WHEN near THEN ridges END) OVER (PARTITION BY image_id) AS win FROM n),
  fit AS (SELECT *, row_number() OVER (PARTITION BY image_id, near ORDER BY iou DESC, geometry_quality DESC, candidate_id) AS fit_rank, row_number() OVER (PARTITION BY image_id, near ORDER BY cov DESC, geometry_quality DESC, candidate_id) AS cov_rank FROM few),
  g AS (SELECT image_id, max(final_score) FILTER (WHERE rank = 1) AS top_score, max(final_score) FILTER (WHERE rank = 2) AS second_score, max(candidate_id) FILTER (WHERE rank = 1) AS first_id, count(*) FILTER (WHERE win) AS n_few, max(candidate_id) FILTER (WHERE win) AS few_id,
    count(*) FILTER (WHERE win AND lined) AS n_lined, count(*) FILTER (WHERE win AND NOT lined) AS n_unlined, max(candidate_id) FILTER (WHERE win AND lined) AS lined_id, max(cov) FILTER (WHERE near) - min(cov) FILTER (WHERE near) AS gap, max(candidate_id) FILTER (WHERE near AND cov_rank = 1) AS full_id,
    max(iou) FILTER (WHERE near AND fit_rank = 1) - max(iou) FILTER (WHERE near AND fit_rank = 2) AS d_iou, max(geometry_quality) FILTER (WHERE near AND fit_rank = 1) - max(geometry_quality) FILTER (WHERE near AND fit_rank = 2) AS d_geo, max(candidate_id) FILTER (WHERE near AND fit_rank = 1) AS fit_id FROM fit GROUP BY 1),
- h AS (SELECT *, CASE WHEN n_few = 1 THEN few_id WHEN n_lined = 1 AND n_unlined > 0 THEN lined_id WHEN gap >= 0.08 THEN full_id WHEN d_iou >= 0.005 THEN fit_id WHEN d_geo >= 0.02 THEN fit_id END AS resolved, second_score IS NOT NULL AND top_score - second_score <= 0.03 AS close FROM g)
- SELECT image_id, CASE WHEN top_score < 0.55 THEN 'below_threshold' WHEN close AND resolved IS NULL THEN 'ambiguous' ELSE 'selected' END AS status, CASE WHEN top_score < 0.55 THEN NULL WHEN close THEN resolved ELSE first_id END AS selected_candidate_id, round(top_score, 6) AS top_score FROM h""")
+ h AS (SELECT *, CASE WHEN n_few = 1 THEN few_id WHEN n_lined = 1 AND n_unlined > 0 THEN lined_id WHEN gap >= 0.08 THEN full_id WHEN d_iou >= 0.005 THEN fit_id WHEN d_geo >= 0.02 THEN fit_id END AS resolved, second_score IS NOT NULL AND top_score - second_score <= {margin} AS close FROM g)
+ SELECT image_id, CASE WHEN top_score < {least} THEN 'below_threshold' WHEN close AND resolved IS NULL THEN 'ambiguous' ELSE 'selected' END AS status, CASE WHEN top_score < {least} THEN NULL WHEN close THEN resolved ELSE first_id END AS selected_candidate_id, round(top_score, 6) AS top_score FROM h"""
+
+
+@query("v_candidates", sql=_decision_sql(0.03, 0.55))
 def candidate_decisions(candidates):
     return R.decisions(candidates).select("image_id", "status", F.col("selected_candidate_id").cast("long").alias("selected_candidate_id"), *r6("top_score"))
 
@@ -317,14 +322,32 @@ def component_choice(candidates):
     return R.pick_component(rows, 0.0800005)
 
 
-@query("v_candidates")
+_PARTS = (
+    ("mask_iou", "mask_quad_iou", "0.5", 0.4, "mask_quad_iou"), ("mask_coverage", "CASE WHEN mask_coverage IS NOT NULL THEN least(1.0, greatest(0.0, mask_coverage)) END", "0.5", 0.05, "mask_coverage"), ("mask_confidence", "NULL", "0.5", 0.1, "mask_confidence"),
+    ("edge_support", "edge_support", "0.5", 0.1, "edge_support"), ("geometry", "geometry_quality", "0", 0.15, "geometry_gate_quality"), ("convexity", "1.0", "0", 0.05, "convexity"),
+    ("border", "CASE WHEN border_contact THEN 0.8 WHEN NOT border_contact THEN 1.0 END", "1.0", 0.05, "border_touch_allowed"), ("aspect", "NULL", "0.5", 0.05, "soft_aspect_hint"),
+    ("source_reliability", "CASE source WHEN 'mask_fit' THEN 0.95 WHEN 'mixed' THEN 0.9 WHEN 'contour' THEN 0.65 WHEN 'hough' THEN 0.6 ELSE 0.5 END", "0.5", 0.1, "source_reliability"),
+)
+_RIDGE = "CASE WHEN has_overlap THEN least(1.0, greatest(enclosed_length, 0) / greatest(1e-6, 0.25 * perimeter)) ELSE 0 END"
+
+
+def _part_sql(name: str, value: str, neutral: str, weight: float, policy: str) -> str:
+    missing = "neutral:border_not_reported" if name == "border" else f"neutral:{policy}"
+    return f"SELECT image_id, candidate_id, '{name}' AS component, round(coalesce({value}, {neutral})::DOUBLE, 6) AS value, round(coalesce({value}, {neutral})::DOUBLE * {weight} / 1.05, 6) + 0.0 AS contribution, ({value}) IS NOT NULL AS applicable, CASE WHEN ({value}) IS NOT NULL THEN '{policy}' ELSE '{missing}' END AS policy FROM v_candidates"
+
+
+@query("v_candidates", sql=" UNION ALL ".join([_part_sql(*x) for x in _PARTS] + [
+    f"SELECT image_id, candidate_id, 'occlusion_penalty', round(({_RIDGE})::DOUBLE, 6), round(-0.25 * ({_RIDGE})::DOUBLE, 6) + 0.0, has_overlap, CASE WHEN has_overlap THEN 'verified_occlusion_ridge_penalty' ELSE 'neutral:no_occlusion' END FROM v_candidates",
+    "SELECT image_id, candidate_id, 'occlusion_alignment', CASE WHEN has_overlap AND aligns THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN has_overlap AND aligns THEN 0.08::DOUBLE ELSE 0 END, has_overlap AND aligns, CASE WHEN has_overlap AND aligns THEN 'verified_occlusion_ridge_alignment' ELSE 'neutral:no_occlusion' END FROM v_candidates"]))
 def candidate_breakdown(candidates):
-    return R.with_scores(candidates, explain=True).select("image_id", "candidate_id", F.explode("breakdown").alias("component", "contribution"))
+    rows = R.with_scores(candidates, explain=True).select("image_id", "candidate_id", F.explode("breakdown").alias("component", "p"))
+    return rows.select("image_id", "candidate_id", "component", (F.round("p.value", 6) + 0.0).alias("value"), (F.round("p.contribution", 6) + 0.0).alias("contribution"), "p.applicable", "p.policy")
 
 
-@query("v_candidates")
+@query("v_candidates", sql=" UNION ALL ".join(f"SELECT '{name}' AS policy, * FROM ({_decision_sql(margin, least)})" for name, margin, least in (("default", 0.03, 0.55), ("wide", 0.06, 0.55), ("strict", 0.03, 0.7))))
 def candidate_sweep(candidates):
-    return R.sweep(candidates, {"default": R.ScoringPolicy(), "wide": R.ScoringPolicy(margin=0.06), "strict": R.ScoringPolicy(minimum_score=0.7)})
+    found = R.sweep(candidates, {"default": R.ScoringPolicy(), "wide": R.ScoringPolicy(margin=0.06), "strict": R.ScoringPolicy(minimum_score=0.7)})
+    return found.select("policy", "image_id", "status", F.col("selected_candidate_id").cast("long").alias("selected_candidate_id"), *r6("top_score"))
 
 
 # -- evaluation ----------------------------------------------------------------
@@ -394,13 +417,26 @@ def quality_gate(truth, predictions):
     return EV.gate(EV.metrics(EV.score_samples(truth, predictions))).select("metric", "passed")
 
 
-@query(*_EVAL, sql="SELECT 'BLOCKED' AS decision_status, NULL AS selected_detector, 'Missing model checksum for cv_v2,Missing prediction bundle for segmentation_only' AS blockers")
+@query(*_EVAL, sql=f"""WITH {_METRICS}, base_ AS (SELECT detection_success_rate AS ok, mean_iou AS iou, p95_corner_error_px / {_DIAG} AS p95, false_detection_rate AS false_rate, silent_wrong_crop_count AS silent FROM mm, cc),
+ new_ AS (SELECT 'same' AS scenario, * FROM base_ UNION ALL SELECT 'exact', count(*) FILTER (WHERE {_AREA("corners")} >= 1) / count(*), 1.0, 0.0, 0.0, 0 FROM v_truth),
+ won_ AS (SELECT scenario, h.ok >= 0.98 AND h.iou >= 0.95 AND h.p95 <= 0.01 AND h.false_rate <= 0.01 AND h.silent = 0 AND h.ok >= b.ok AND h.iou >= b.iou AND h.p95 <= b.p95 AND (h.iou > b.iou OR h.ok > b.ok OR h.p95 < b.p95) AS wins FROM new_ h, base_ b)
+ SELECT scenario, CASE WHEN wins THEN 'READY' ELSE 'BLOCKED' END AS decision_status, CASE WHEN wins THEN 'hybrid' END AS selected_detector, CASE WHEN wins THEN '' ELSE 'Hybrid is not proven better than the baseline' END AS blockers FROM won_
+ UNION ALL SELECT 'lacking', 'BLOCKED', NULL, 'Missing model checksum for cv_v2,Missing prediction bundle for segmentation_only'""")
 def release_decision(truth, predictions):
-    scored = EV.score_samples(truth, predictions)
-    both = scored.withColumn("detector", F.explode(F.array(F.lit("v1_cv"), F.lit("hybrid"))))
-    rows = EV.metrics(both, ("detector",))
-    available = truth.sparkSession.createDataFrame([("cv_v2", False), ("hybrid", True)], "detector string, has_checksum boolean")
-    return EV.decision(rows, EV.gate(rows, by=("detector",)), available).withColumn("blockers", F.array_join("blockers", ","))
+    """The baseline against itself, against the truth given as a prediction, and with bundles missing."""
+    baseline = EV.score_samples(truth, predictions).withColumn("detector", F.lit("v1_cv"))
+    right = truth.select("sample_id", F.lit(True).alias("detected"), F.col("corners").alias("raw_corners"), "corners", F.lit(None).cast("string").alias("failure_reason"))
+    exact = EV.score_samples(truth, right).withColumn("detector", F.lit("exact"))
+    each = EV.metrics(baseline.unionByName(exact), ("detector",))
+    spark = truth.sparkSession
+    every = spark.createDataFrame([(d, True) for d in ("segmentation_only", "cv_v2", "hybrid")], "detector string, has_checksum boolean")
+    few = spark.createDataFrame([("cv_v2", False), ("hybrid", True)], "detector string, has_checksum boolean")
+    out = None
+    for scenario, hybrid, available in (("same", "v1_cv", every), ("exact", "exact", every), ("lacking", "exact", few)):
+        rows = each.where("detector = 'v1_cv'").unionByName(each.where(F.col("detector") == hybrid).withColumn("detector", F.lit("hybrid")))
+        one = EV.decision(rows, EV.gate(rows, by=("detector",)), available).select(F.lit(scenario).alias("scenario"), "decision_status", "selected_detector", F.array_join("blockers", ",").alias("blockers"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(*_EVAL, sql="SELECT sample_id FROM v_pred WHERE sample_id NOT IN (SELECT sample_id FROM v_truth WHERE sample_id % 4 <> 0)")
@@ -459,11 +495,18 @@ def identity_violations(pool):
     return EV.identity_violations(pool.select((k % 700).cast("string").alias("sample_id"), "image_path", F.col("lang").alias("sequence_id"), F.when((F.col("lang") == "en") | (k % 2 == 0), "train").otherwise("tune").alias("split")))
 
 
-@query("v_truth", sql="SELECT sha256(string_agg(h, '' ORDER BY h)) AS corpus_sha256, count(*) AS n FROM (SELECT sha256(CAST(sample_id AS VARCHAR)) AS h FROM v_truth)")
+@query("v_truth", sql="SELECT sha256(string_agg(h, '' ORDER BY b)) AS corpus_sha256, sum(n)::BIGINT AS n FROM (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM (SELECT sha256(CAST(sample_id AS VARCHAR)) AS h FROM v_truth) GROUP BY 1)")
 def corpus_fingerprint(truth):
     return EV.corpus_hash(truth.select(F.col("sample_id").cast("string").alias("t")), "t")
 
 
+@query("v_truth", sql="SELECT dataset, sha256(string_agg(t, '' ORDER BY t)) AS corpus_sha256, count(*) AS n FROM (SELECT sample_id % 7 AS dataset, CAST(sample_id AS VARCHAR) AS t FROM v_truth) GROUP BY 1")
+def manifest_hashes(truth):
+    """The hash of each manifest's documents put together in order: the value that a report of a corpus names."""
+    rows = truth.select((F.col("sample_id") % 7).alias("dataset"), F.col("sample_id").cast("string").alias("t"))
+    return EV.joined_hash(rows, "t", ("dataset",))
+
+
 @query("v_entries", sql="""WITH w AS (SELECT relative_path, seq, CASE seq % 5 WHEN 0 THEN 'hybrid_ambiguous' WHEN 1 THEN 'WARP_FALLBACK' WHEN 2 THEN 'document_clipped' WHEN 3 THEN 'MASK_INVALID' ELSE 'OTHER' END AS code FROM v_entries)
  SELECT relative_path, CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 5 = 0 THEN 'HYBRID_AMBIGUOUS' WHEN seq % 5 = 1 THEN 'PERSPECTIVE_INVALID' WHEN seq % 5 = 2 THEN 'QUAD_FIT_FAILED' WHEN seq % 5 = 3 THEN 'MASK_INVALID' ELSE 'CV_NO_CANDIDATE' END AS primary_reason,
  CASE WHEN seq % 7 = 0 THEN '' ELSE CASE seq % 5 WHEN 0 THEN 'HYBRID_AMBIGUOUS' WHEN 1 THEN 'PERSPECTIVE_INVALID' WHEN 2 THEN 'QUAD_FIT_FAILED' WHEN 3 THEN 'MASK_INVALID' ELSE 'CV_NO_CANDIDATE' END || CASE WHEN seq % 2 = 0 THEN ',FALLBACK_FULL_IMAGE' ELSE '' END END AS reason_codes FROM w""")
@@ -544,7 +587,11 @@ def segment_families(segments):
     return GR.segment_families(_segments(segments)).select("image_id", "h1", "h2", "v1", "v2")
 
 
-@query("v_segments")
+@query("v_segments", sql="RECURSIVE " + _SEG + """, o AS (SELECT image_id, segment_id, angle, off, row_number() OVER (PARTITION BY image_id ORDER BY support DESC, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) DESC, segment_id) AS rn FROM s),
+ f AS (SELECT image_id, rn, segment_id, 0 AS cluster, [angle] AS ha, [off] AS ho FROM o WHERE rn = 1
+ UNION ALL SELECT g.image_id, g.rn, g.segment_id, CASE WHEN g.hit IS NULL THEN len(g.ha) ELSE g.hit - 1 END, CASE WHEN g.hit IS NULL THEN list_append(g.ha, g.angle) ELSE g.ha END, CASE WHEN g.hit IS NULL THEN list_append(g.ho, g.off) ELSE g.ho END
+  FROM (SELECT o.*, f.ha, f.ho, list_filter(range(1, len(f.ha) + 1), lambda k: least(abs(o.angle - f.ha[k]) % 180, 180 - abs(o.angle - f.ha[k]) % 180) <= 5 AND CASE WHEN abs(o.angle - f.ha[k]) % 180 <= 90 THEN abs(o.off - f.ho[k]) ELSE abs(o.off + f.ho[k]) END <= 12)[1] AS hit FROM f JOIN o ON o.image_id = f.image_id AND o.rn = f.rn + 1) g)
+ SELECT image_id, segment_id, cluster::INTEGER AS cluster FROM f""")
 def segment_clusters(segments):
     return GR.line_clusters(_segments(segments))
 
@@ -589,17 +636,29 @@ def ring_lengths(positions):
     return GR.along_ring(positions, by="image_id", seq="seq", x="position", y="weight").select("image_id", "seq", F.round("arc", 3).alias("arc"), F.round("total", 3).alias("total"))
 
 
-@query("v_positions")
+_TURNS = "o AS (SELECT image_id, position::DOUBLE AS x, weight::DOUBLE AS w, row_number() OVER (PARTITION BY image_id ORDER BY position, weight) AS rn FROM v_positions)"
+
+
+@query("v_positions", sql=f"""RECURSIVE WITH {_TURNS}, f AS (SELECT image_id, rn, 0 AS merged, x AS mean, w AS weight FROM o WHERE rn = 1
+ UNION ALL SELECT o.image_id, o.rn, CASE WHEN o.x - f.mean <= 15000 THEN f.merged ELSE f.merged + 1 END, CASE WHEN o.x - f.mean <= 15000 THEN (f.mean * f.weight + o.x * o.w) / (f.weight + o.w) ELSE o.x END, CASE WHEN o.x - f.mean <= 15000 THEN f.weight + o.w ELSE o.w END FROM f JOIN o ON o.image_id = f.image_id AND o.rn = f.rn + 1)
+ SELECT image_id, merged, round(arg_max(mean, rn) + 1e-7, 4) AS mean, round(arg_max(weight, rn), 4) AS weight FROM f GROUP BY 1, 2""")
 def position_merge(positions):
-    return GR.merged_positions(positions, by="image_id", position="position", weight="weight", gap=15000)
+    found = GR.merged_positions(positions, by="image_id", position="position", weight="weight", gap=15000)
+    return found.select("image_id", "merged", F.round(F.col("mean") + 1e-7, 4).alias("mean"), F.round("weight", 4).alias("weight"))
 
 
-@query("v_positions")
+@query("v_positions", sql="""RECURSIVE WITH t AS (SELECT image_id, position::DOUBLE AS x, weight::DOUBLE AS v, lag(weight) OVER w AS b, lead(weight) OVER w AS a FROM v_positions WINDOW w AS (PARTITION BY image_id ORDER BY position)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, x) AS rn FROM t WHERE (b IS NULL OR v > b) AND (a IS NULL OR v >= a)),
+ f AS (SELECT image_id, rn, TRUE AS took, 0 AS rank, x, v, [x] AS taken FROM o WHERE rn = 1
+ UNION ALL SELECT o.image_id, o.rn, len(f.taken) < 4 AND len(list_filter(f.taken, lambda y: abs(o.x - y) <= 20000)) = 0, len(f.taken), o.x, o.v, CASE WHEN len(f.taken) < 4 AND len(list_filter(f.taken, lambda y: abs(o.x - y) <= 20000)) = 0 THEN list_append(f.taken, o.x) ELSE f.taken END FROM f JOIN o ON o.image_id = f.image_id AND o.rn = f.rn + 1)
+ SELECT image_id, rank, x AS position, v AS weight FROM f WHERE took""")
 def position_peaks(positions):
     return GR.suppressed_peaks(positions, by="image_id", position="position", value="weight", distance=20000, keep=4)
 
 
-@query("v_positions")
+@query("v_positions", sql=f"""RECURSIVE WITH {_TURNS}, f AS (SELECT image_id, rn, 0 AS kept, x, w FROM o WHERE rn = 1
+ UNION ALL SELECT o.image_id, o.rn, CASE WHEN o.x - f.x < 10000 THEN f.kept ELSE f.kept + 1 END, CASE WHEN o.x - f.x < 10000 AND o.w <= f.w THEN f.x ELSE o.x END, CASE WHEN o.x - f.x < 10000 AND o.w <= f.w THEN f.w ELSE o.w END FROM f JOIN o ON o.image_id = f.image_id AND o.rn = f.rn + 1)
+ SELECT image_id, kept, arg_max(x, rn) AS position, arg_max(w, rn) AS weight FROM f GROUP BY 1, 2""")
 def position_spacing(positions):
     return GR.spaced(positions, by="image_id", position="position", support="weight", minimum=10000)
 
@@ -618,9 +677,12 @@ def _fold_sql(test: str, field: str) -> str:
 @query("v_events", sql=_FIRST + f""" SELECT run_id, coalesce(max(filesToProcess) FILTER (WHERE type = 'scan_plan'), 0) AS total_to_process,
  CASE WHEN max(done_at) IS NULL THEN count(*) FILTER (WHERE type IN ('file_completed', 'file_failed')) ELSE greatest(count(*) FILTER (WHERE type IN ('file_completed', 'file_failed') AND NOT {_LATE}), max(totalProcessed) FILTER (WHERE type = 'scan_completed')) + count(*) FILTER (WHERE type IN ('file_completed', 'file_failed') AND {_LATE}) END AS processed,
  {_fold_sql("type = 'file_completed' AND NOT warned", "success")} AS success, {_fold_sql("type = 'file_completed' AND warned", "warningCount")} AS warning, {_fold_sql("type = 'file_failed'", "failed")} AS failed,
- coalesce(max(skipped) FILTER (WHERE type = 'scan_completed'), max(unchanged) FILTER (WHERE type = 'scan_plan'), 0) AS skipped, count(*) FILTER (WHERE type = 'file_completed' AND NOT documentDetected) AS fallback_count FROM d GROUP BY 1""")
+ coalesce(max(skipped) FILTER (WHERE type = 'scan_completed'), max(unchanged) FILTER (WHERE type = 'scan_plan'), 0) AS skipped, count(*) FILTER (WHERE type = 'file_completed' AND NOT documentDetected) AS fallback_count,
+ CASE WHEN max(done_at) IS NOT NULL AND count(*) FILTER (WHERE type = 'file_started' AND {_LATE}) = 0 THEN 'completed' WHEN count(*) FILTER (WHERE type = 'file_started') > 0 THEN 'running' ELSE 'idle' END AS phase,
+ CASE WHEN max(occlusionRiskCount) FILTER (WHERE type = 'scan_completed') IS NOT NULL THEN max(occlusionRiskCount) FILTER (WHERE type = 'scan_completed') + count(*) FILTER (WHERE type = 'file_completed' AND contains(warning, 'OCCLUSION_RISK') AND {_LATE}) ELSE count(*) FILTER (WHERE type = 'file_completed' AND contains(warning, 'OCCLUSION_RISK')) END AS occlusion_risk_count,
+ CASE WHEN max(done_at) IS NOT NULL AND coalesce(max(seq) FILTER (WHERE type = 'file_started'), -1) < max(done_at) THEN '' ELSE coalesce(arg_max(relativePath, seq) FILTER (WHERE type = 'file_started'), '') END AS current_file FROM d GROUP BY 1""")
 def run_states(events):
-    return E.run_state(events).select("run_id", "total_to_process", "processed", "success", "warning", "failed", "skipped", "fallback_count")
+    return E.run_state(events)
 
 
 @query("v_events", sql=_FIRST + " SELECT run_id, relativePath, CASE WHEN type = 'file_failed' THEN 'failed' WHEN warned THEN 'warning' ELSE 'success' END AS status, CASE WHEN type = 'file_failed' THEN errorCode || ': ' || message ELSE warning END AS message FROM d WHERE type IN ('file_completed', 'file_failed') QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) <= 20")
@@ -682,7 +744,7 @@ def annotation_summary(pool):
     return D.annotation_summary(pool.select(F.when(k % 3 == 0, "open").otherwise("annotated").alias("status"), F.col("lang").alias("split"), F.array("source").alias("scenario_tags"), none.alias("document_polygon"), F.when(k % 4 == 0, "m").alias("mask_path"), (k % 5 != 0).alias("document_visible")))
 
 
-@query("v_truth", "v_segments", sql=_SEG.replace("FROM v_segments", "FROM v_segments WHERE image_id < 500") + f""", e AS ({" UNION ALL ".join(f"SELECT sample_id AS image_id, {i} AS edge, corners[{i + 1}].x AS px, corners[{i + 1}].y AS py, corners[{(i + 1) % 4 + 1}].x AS qx, corners[{(i + 1) % 4 + 1}].y AS qy FROM v_truth" for i in range(4))}),
+@query("v_truth", "v_segments", sql=_SEG + f""", e AS ({" UNION ALL ".join(f"SELECT sample_id AS image_id, {i} AS edge, corners[{i + 1}].x AS px, corners[{i + 1}].y AS py, corners[{(i + 1) % 4 + 1}].x AS qx, corners[{(i + 1) % 4 + 1}].y AS qy FROM v_truth" for i in range(4))}),
  d AS (SELECT *, (degrees(atan2(qy - py, qx - px)) + 360) % 180 AS edge_angle FROM e)
  SELECT image_id, edge, segment_id FROM d JOIN s USING (image_id) WHERE least(abs(angle - edge_angle), 180 - abs(angle - edge_angle)) <= 20 AND sqrt(((x1 + x2) / 2 - (px + qx) / 2) ** 2 + ((y1 + y2) / 2 - (py + qy) / 2) ** 2) <= 250""")
 def edge_segments(truth, segments):
@@ -690,10 +752,13 @@ def edge_segments(truth, segments):
     return D.segments_by_edge(quads, _segments(segments), distance=250, angle=20).select("image_id", "edge", "segment_id")
 
 
-@query("v_truth", "v_segments")
+@query("v_truth", "v_segments", sql=f"""WITH j AS (SELECT s.*, t.corners FROM v_segments s JOIN v_truth t ON s.image_id = t.sample_id),
+ p AS (SELECT image_id, segment_id, x1, y1, x2, y2, corners, x1 + (k / 19.0::DOUBLE) * (x2 - x1) AS px, y1 + (k / 19.0::DOUBLE) * (y2 - y1) AS py FROM j, range(20) r(k)),
+ i AS (SELECT image_id, segment_id, any_value(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) AS len, count(*) FILTER (WHERE {" AND ".join(f"({_Q[(k + 1) % 4]}.x - {_Q[k]}.x) * (py - {_Q[k]}.y) - ({_Q[(k + 1) % 4]}.y - {_Q[k]}.y) * (px - {_Q[k]}.x) >= 0" for k in range(4))}) / 20.0 AS share FROM p GROUP BY 1, 2)
+ SELECT image_id, 1 AS candidate_id, count(*) AS enclosed_ridges, round(sum(len), 4) AS enclosed_length FROM i WHERE share >= 0.3 GROUP BY 1""")
 def enclosed_ridges(truth, segments):
     quads = truth.select(F.col("sample_id").alias("image_id"), F.lit(1).alias("candidate_id"), "corners")
-    return D.ridges_within(quads, segments.select("image_id", F.col("segment_id").alias("ridge_id"), "x1", "y1", "x2", "y2"), part=0.3)
+    return D.ridges_within(quads, segments.select("image_id", F.col("segment_id").alias("ridge_id"), "x1", "y1", "x2", "y2"), part=0.3).withColumn("enclosed_length", F.round("enclosed_length", 4))
 
 
 @query("v_files", sql="""WITH w AS (SELECT relative_path AS path, lang_name AS name, row_number() OVER (PARTITION BY lang_name ORDER BY relative_path) AS rn FROM (SELECT *, split_part(file_name, '-', 1) || '.pdf' AS lang_name FROM v_files))
@@ -757,3 +822,119 @@ def given_orders(files, state):
     ids = F.explode(F.array(F.concat("employee_name", F.lit(":2024-05")), F.concat("employee_name", F.lit(":2024-06")), F.concat("employee_name", F.lit(":x")), F.col("employee_name")))
     orders = groups.select(ids.alias("group_id"), F.sequence(F.lit(1), F.length("employee_name")).cast("array<string>").alias("ordered_source_paths"))
     return RC.given_orders(orders, files, state.where("size % 50 <> 0"), year=2024, month=5).select("employee_name", F.size("ordered_source_paths").cast("long").alias("n_pages"))
+
+
+# -- a run's results, state and events ----------------------------------------------
+
+_SCANS_SQL = """scans AS (SELECT relative_path, employee_name, relative_path || '.pdf' AS target, doc_id, doc_id % 4 <> 0 AS found, CASE WHEN doc_id % 6 = 0 THEN 'DARK, OCCLUSION_RISK' WHEN doc_id % 5 = 0 THEN 'DARK' END AS warned, doc_id * 1.5 AS ms,
+   CASE WHEN doc_id % 17 = 0 THEN 'PDF_WRITE_FAILED' WHEN doc_id % 9 = 0 THEN 'IMAGE_PROCESS_FAILED' END AS code FROM v_files),
+ results AS (SELECT relative_path, employee_name, target, doc_id, CASE WHEN code IS NOT NULL THEN 'failed' WHEN warned IS NOT NULL THEN 'warning' ELSE 'success' END AS status, found AND code IS NULL AS document_detected, CASE WHEN code IS NULL THEN warned END AS warning, CAST(round_even(ms, 0) AS BIGINT) AS duration_ms, code FROM scans)"""
+
+
+def _scan_results(files):
+    k = F.col("doc_id")
+    warnings = F.when(k % 6 == 0, F.array(F.lit("DARK"), F.lit("OCCLUSION_RISK"))).when(k % 5 == 0, F.array(F.lit("DARK"))).otherwise(F.array().cast("array<string>"))
+    scans = files.select("relative_path", "employee_name", F.concat("relative_path", F.lit(".pdf")).alias("target_relative_pdf"), (k % 4 != 0).alias("document_detected"), warnings.alias("warnings"), (k * 1.5).alias("total_duration_ms"), F.when(k % 17 == 0, "PDF_WRITE_FAILED").alias("error_code"))
+    listed = files.select("relative_path", "size", "mtime_ns")
+    after = files.select("relative_path", "size", (F.col("mtime_ns") + F.when(k % 9 == 0, 1).otherwise(0)).alias("mtime_ns"))
+    return LC.file_results(scans, LC.changed_while_processed(listed, after))
+
+
+@query("v_files", sql=f"WITH {_SCANS_SQL} SELECT relative_path, employee_name, target AS target_relative_pdf, status, document_detected, warning, duration_ms, code AS error_code FROM results")
+def run_results(files):
+    """Results of a run in which every ninth file changed while it was processed."""
+    return _scan_results(files)
+
+
+def _old_state(state):
+    k = F.col("doc_id")
+    one = F.get("output_relative_paths", F.lit(0))
+    period = F.struct(F.lit(2023).cast("int").alias("year"), (k % 12 + 1).cast("int").alias("month"))
+    group = F.struct(F.lit("old").alias("employee_relative_dir"), F.lit(2022).cast("int").alias("year"), F.lit(1).cast("int").alias("month"))
+    return state.select("relative_path", F.when(k % 3 == 0, one).alias("output_relative_path"), F.when(k % 4 == 1, F.array().cast("array<string>")).otherwise(F.col("output_relative_paths")).alias("output_relative_paths"), F.when(k % 2 == 0, period).alias("period"), F.when(k % 5 == 0, group).alias("group_key"), F.col("output_relative_paths").alias("artifact_dependencies"))
+
+
+def _state_sql(grouped: bool) -> str:
+    one = "CASE WHEN had THEN was_one END" if grouped else "target"
+    many = "CASE WHEN had THEN was_many ELSE [] END" if grouped else "CASE WHEN had THEN was_many ELSE [target] END"
+    deps = "CASE WHEN had THEN needs ELSE [] END" if grouped else "CASE WHEN had THEN needs ELSE [target] END"
+    return f"""WITH {_SCANS_SQL},
+ was AS (SELECT relative_path, TRUE AS had, CASE WHEN doc_id % 3 = 0 THEN output_relative_paths[1] END AS was_one, CASE WHEN doc_id % 4 = 1 THEN [] ELSE output_relative_paths END AS was_many, output_relative_paths AS needs,
+   CASE WHEN doc_id % 2 = 0 THEN 2023 END AS y, CASE WHEN doc_id % 2 = 0 THEN doc_id % 12 + 1 END AS m, doc_id % 5 = 0 AS grouped FROM v_state),
+ j AS (SELECT r.*, f.size, w.* EXCLUDE (relative_path, had), coalesce(w.had, FALSE) AS had, w.was_one IS NULL AND len(coalesce(w.was_many, [])) = 0 AS bare FROM results r JOIN v_files f USING (relative_path) LEFT JOIN was w USING (relative_path)),
+ c AS (SELECT *, CASE WHEN status = 'failed' THEN CASE WHEN bare THEN target ELSE was_one END ELSE {one} END AS o, CASE WHEN status = 'failed' THEN CASE WHEN bare THEN [target] ELSE was_many END ELSE {many} END AS l,
+   CASE WHEN status = 'failed' THEN CASE WHEN had THEN needs ELSE [target] END ELSE {deps} END AS d FROM j)
+ SELECT relative_path, size, coalesce(o, l[1]) AS output_relative_path, array_to_string(CASE WHEN o IS NOT NULL AND NOT list_contains(l, o) THEN list_append(l, o) ELSE l END, '|') AS outputs, array_to_string(d, '|') AS dependencies, status,
+   coalesce(y, 2024)::INTEGER AS year, coalesce(m, 2)::INTEGER AS month, CASE WHEN grouped THEN 'old:2022-1' ELSE employee_name || ':' || coalesce(y, 2024) || '-' || coalesce(m, 2) END AS group_name, CASE WHEN status = 'failed' THEN 'failed' WHEN document_detected THEN 'detected' ELSE 'fallback' END AS detection_status FROM c"""
+
+
+def _state_after(files, state, grouped: bool):
+    rows = LC.state_after(_scan_results(files), files, _old_state(state), pipeline_version="0.4.0", period=(2024, 2), grouped=grouped)
+    name = F.concat(F.col("group_key.employee_relative_dir"), F.lit(":"), F.col("group_key.year").cast("string"), F.lit("-"), F.col("group_key.month").cast("string"))
+    joined = lambda c: F.array_join(c, "|")
+    return rows.select("relative_path", "size", "output_relative_path", joined("output_relative_paths").alias("outputs"), joined("artifact_dependencies").alias("dependencies"), "status", "period.year", "period.month", name.alias("group_name"), "detection_status")
+
+
+@query("v_files", "v_state", sql=_state_sql(False))
+def run_state_rows(files, state):
+    """State rows after a run that writes one output for each image."""
+    return _state_after(files, state, False)
+
+
+@query("v_files", "v_state", sql=_state_sql(True))
+def run_state_rows_grouped(files, state):
+    """State rows after a run whose outputs are committed group by group."""
+    return _state_after(files, state, True)
+
+
+@query("v_entries", sql="""WITH f AS (SELECT *, seq % 12 <> 5 AND seq % 97 <> 0 AS fine, seq % 12 <> 5 AS there FROM v_entries), g AS (SELECT group_key, bool_and(fine) AS whole FROM f WHERE group_key NOT LIKE '%:3' GROUP BY 1)
+ SELECT group_key, CAST(row_number() OVER (PARTITION BY group_key ORDER BY relative_path) - 1 AS INTEGER) AS position, relative_path FROM f JOIN g USING (group_key) WHERE whole""")
+def exported_pages(entries):
+    """Pages of groups of which every source has a good result and which nobody skipped."""
+    groups = entries.groupBy("group_key").agg(F.array_sort(F.collect_list("relative_path")).alias("source_relative_paths"))
+    groups = groups.withColumn("source_relative_paths", F.transform("source_relative_paths", lambda p: F.translate(p, "/", "\\")))
+    results = entries.where("seq % 12 <> 5").select("relative_path", F.when(F.col("seq") % 97 == 0, "failed").otherwise("success").alias("status"))
+    skipped = groups.where("group_key LIKE '%:3'").select("group_key")
+    return LC.group_pages(groups, results, skipped)
+
+
+@query("v_files", "v_state", sql="""SELECT f.relative_path, CASE WHEN s.relative_path IS NOT NULL AND s.doc_id % 4 <> 0 AND s.doc_id % 7 <> 0 THEN s.output_relative_paths[1] ELSE f.relative_path || '.pdf' END AS name, s.relative_path IS NOT NULL AND s.doc_id % 4 <> 0 AND s.doc_id % 7 <> 0 AS kept FROM v_files f LEFT JOIN v_state s USING (relative_path)""")
+def wanted_outputs(files, state):
+    k = F.col("doc_id")
+    was = state.select("relative_path", F.when(k % 4 == 0, "MERGED").otherwise("PER_IMAGE").alias("export_mode"), F.when(k % 7 != 0, F.get("output_relative_paths", F.lit(0))).otherwise("").alias("output_relative_path"))
+    return LC.flat_work_items(files.select("relative_path", F.concat("relative_path", F.lit(".pdf")).alias("target_relative_pdf")), was)
+
+
+@query("v_candidates", sql="""SELECT image_id, (CASE source WHEN 'mask_fit' THEN 0 WHEN 'mixed' THEN 1 ELSE 3 END)::INTEGER AS turns, source AS page_type, round(edge_support, 6) AS confidence FROM v_candidates QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY coalesce(edge_support, 0) DESC, candidate_id) = 1""")
+def best_turns(candidates):
+    turns = F.when(F.col("source") == "mask_fit", 0).when(F.col("source") == "mixed", 1).otherwise(3)
+    rows = candidates.select("image_id", F.col("candidate_id").alias("position"), turns.cast("int").alias("turns"), F.col("source").alias("page_type"), F.col("edge_support").alias("confidence"))
+    return LC.best_turn(rows).select("image_id", "turns", "page_type", *r6("confidence"))
+
+
+@query("v_files", sql=f"""WITH {_SCANS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY employee_name ORDER BY relative_path) AS i, count(*) OVER (PARTITION BY employee_name) AS t FROM results)
+ SELECT employee_name AS run, seq, CASE WHEN seq % 2 = 1 THEN 'file_started' WHEN status = 'failed' THEN 'file_failed' ELSE 'file_completed' END AS type, relative_path AS "relativePath", i::INTEGER AS "index", t::INTEGER AS total, CASE WHEN seq % 2 = 0 AND status <> 'failed' THEN document_detected END AS "documentDetected", CASE WHEN seq % 2 = 0 THEN warning END AS warning, CASE WHEN seq % 2 = 0 THEN code END AS "errorCode"
+ FROM (SELECT *, unnest([2 * i - 1, 2 * i]) AS seq FROM n)""")
+def run_events(files):
+    found = _scan_results(files).withColumn("run", F.col("employee_name"))
+    return LC.file_events(found, "run", ["relative_path"], "2024-01-05T10:00:00Z").select("run", "seq", "type", "relativePath", "index", "total", "documentDetected", "warning", "errorCode")
+
+
+@query("v_files", sql=f"""WITH {_SCANS_SQL} SELECT employee_name AS run, count(*)::INTEGER AS "totalProcessed", (count(*) FILTER (WHERE status = 'success'))::INTEGER AS success, (count(*) FILTER (WHERE status = 'warning'))::INTEGER AS warning, (count(*) FILTER (WHERE status = 'failed'))::INTEGER AS failed, (count(*) FILTER (WHERE contains(warning, 'OCCLUSION_RISK')))::INTEGER AS "occlusionRiskCount" FROM results GROUP BY 1""")
+def run_completions(files):
+    found = _scan_results(files).withColumn("run", F.col("employee_name"))
+    return LC.completed_event(found, "run", "2024-01-05T10:00:00Z").select("run", "totalProcessed", "success", "warning", "failed", "occlusionRiskCount")
+
+
+@query("v_timings", sql="SELECT mode, count(ms) AS n, round(avg(ms), 6) AS mean_memory_bytes, round(quantile_cont(ms, 0.5), 6) AS p50_memory_bytes, round(quantile_cont(ms, 0.95), 6) AS p95_memory_bytes, round(quantile_cont(ms, 0.99), 6) AS p99_memory_bytes, round(max(ms), 6) AS max_memory_bytes FROM (SELECT mode, CASE WHEN boundary = 'pipeline' THEN ms * 1000 END AS ms FROM v_timings) GROUP BY 1")
+def memory_summary(timings):
+    rows = timings.select("mode", F.when(F.col("boundary") == "pipeline", F.col("ms") * 1000).alias("memory_peak_bytes"))
+    return EV.memory_summary(rows, ("mode",)).select("mode", "n", *r6("mean_memory_bytes", "p50_memory_bytes", "p95_memory_bytes", "p99_memory_bytes", "max_memory_bytes"))
+
+
+@query("v_files", sql="SELECT relative_path, CASE doc_id % 4 WHEN 0 THEN 'Cannot be read.' WHEN 1 THEN 'Cannot be written.' WHEN 2 THEN 'ODD' END AS user_message FROM v_files")
+def user_messages(files):
+    k = F.col("doc_id") % 4
+    table = files.sparkSession.createDataFrame([("UNREADABLE", "Cannot be read."), ("UNWRITABLE", "Cannot be written.")], "code string, message string")
+    rows = files.select("relative_path", F.when(k == 0, " unreadable ").when(k == 1, "UNWRITABLE").when(k == 2, "odd").alias("code"))
+    return LC.with_messages(rows, table).select("relative_path", "user_message")

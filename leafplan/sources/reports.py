@@ -39,8 +39,8 @@ def prediction_bundle(spark: SparkSession, path: str) -> DataFrame:
 
 
 def string_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV, compressed or not, with all columns as text."""
-    return spark.read.option("header", True).csv(path)
+    """A CSV, compressed or not, with all columns as text; quoted fields may hold doubled quotes and line ends."""
+    return spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
 
 
 def write_text(path: str, text: str) -> None:

@@ -12,6 +12,7 @@ import os
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -19,47 +20,77 @@ VERSION = 2
 
 
 class StateStore:
-    """The state of one root at a path on a file system with atomic renames."""
+    """The state of one root in a folder of any file system that Hadoop knows and that renames atomically."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, root_id: str):
-        self.spark, self.path, self.schema, self.root_id = spark, path, T.StructType.fromDDL(schema), root_id
+        self.spark, self.schema, self.root_id = spark, T.StructType.fromDDL(schema), root_id
+        context = spark.sparkContext
+        self._path = context._jvm.org.apache.hadoop.fs.Path
+        at = self._path(path)
+        self.files = at.getFileSystem(context._jsc.hadoopConfiguration())
+        # Snapshots and pointer go by one file system, also for a path without a scheme.
+        self.path = self.files.makeQualified(at).toString()
 
     @property
     def pointer(self) -> str:
-        return os.path.join(self.path, "current.json")
+        return f"{self.path}/current.json"
 
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema)
 
+    def _read(self, path: str) -> bytes:
+        stream = self.files.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes())
+        except Py4JJavaError as error:
+            if "ChecksumException" in error.java_exception.getClass().getName():
+                raise ValueError(f"{path} is damaged") from error
+            raise
+        finally:
+            stream.close()
+
+    def _replace(self, staged: str, target: str) -> None:
+        """Moves ``staged`` over ``target``; where that is no single step, a reader meanwhile finds the backup."""
+        a, b = self._path(staged), self._path(target)
+        if self.files.exists(b):
+            backup = self._path(f"{target}.last")
+            self.files.delete(backup, False)
+            self.files.rename(b, backup)
+        if not self.files.rename(a, b):
+            raise OSError(f"{target} can't be replaced")
+
     def load(self, *, strict: bool = False) -> DataFrame:
         """The current snapshot. Another root's state is always an error."""
-        if not os.path.exists(self.pointer):
+        pointer = next((p for p in (self.pointer, f"{self.pointer}.last") if self.files.exists(self._path(p))), None)
+        if pointer is None:
             return self.empty()
         try:
-            with open(self.pointer, encoding="utf-8") as f:
-                at = json.load(f)
+            at = json.loads(self._read(pointer).decode("utf-8"))
             if at["version"] != VERSION:
                 raise ValueError(f"state version {at['version']}")
             snapshot, root = at["snapshot"], at["root_id"]
         except (ValueError, KeyError, TypeError):
             if strict:
                 raise
-            os.replace(self.pointer, f"{self.pointer}.corrupt-{time.time_ns()}")
+            self.files.rename(self._path(pointer), self._path(f"{self.pointer}.corrupt-{time.time_ns()}"))
+            self.files.delete(self._path(f"{self.pointer}.last"), False)
             return self.empty()
         if root != self.root_id:
             raise ValueError("this state belongs to another root")
-        return self.spark.read.schema(self.schema).parquet(os.path.join(self.path, snapshot))
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{snapshot}")
 
     def save(self, state: DataFrame) -> str:
         """Writes a snapshot and makes it the current one; its name."""
         name = f"snapshot-{uuid.uuid4().hex}"
-        state.select(*self.schema.names).write.parquet(os.path.join(self.path, name))
+        state.select(*self.schema.names).write.parquet(f"{self.path}/{name}")
         staged = f"{self.pointer}.{uuid.uuid4().hex}"
-        with open(staged, "w", encoding="utf-8") as f:
-            json.dump({"version": VERSION, "root_id": self.root_id, "snapshot": name}, f, sort_keys=True)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(staged, self.pointer)
+        out = self.files.create(self._path(staged), False)
+        try:
+            out.write(json.dumps({"version": VERSION, "root_id": self.root_id, "snapshot": name}, sort_keys=True).encode())
+            out.hsync()
+        finally:
+            out.close()
+        self._replace(staged, self.pointer)
         return name
 
 

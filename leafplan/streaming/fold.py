@@ -19,49 +19,61 @@ from leafplan.operators import events as E
 
 
 def event_stream(lines: DataFrame, *, lateness: str = "1 hour") -> DataFrame:
-    """Valid own events of a stream of (run_id, seq, value), each key once within the watermark."""
-    good = _attach(lines).where(F.col("problem").isNull() & F.col("type").isin(*E.OWN_TYPES)).drop("line", "problem")
+    """Valid own events of a stream of (run_id, seq, value), each key once within the watermark.
+
+    What is valid is what the batch form says: both use one decoder.
+    """
+    good = E.decoded(lines, keep=("run_id", "seq")).where(F.col("problem").isNull() & F.col("type").isin(*E.OWN_TYPES)).drop("line", "problem")
     keyed = good.withColumn("event_time", F.to_timestamp("timestamp")).withColumn("event_key", E.event_key())
     return keyed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["run_id", "event_key"])
 
 
-def _attach(lines: DataFrame) -> DataFrame:
-    parsed = F.from_json(F.trim("value"), E.WIRE)
-    count = F.when(F.get_json_object("value", "$.type") == "scan_completed", F.get_json_object("value", "$.warning").cast("int"))
-    rows = lines.select("run_id", "seq", F.col("value").alias("line"), parsed.withField("warningCount", count).alias("e"))
-    bad = F.col("e.type").isNull() | ~F.coalesce(F.col("e.protocolVersion") == E.PROTOCOL, F.lit(False)) | F.try_to_timestamp(F.col("e.timestamp")).isNull()
-    return rows.select("run_id", "seq", "line", F.when(bad, F.lit("invalid")).alias("problem"), "e.*")
-
-
-OUTPUT = "run_id string, phase string, processed long, success long, warning long, failed long, skipped long"
-STATE = "phase string, processed long, success long, warning long, failed long, skipped long"
+FIELDS = "phase string, total_to_process long, processed long, success long, warning long, failed long, skipped long, fallback_count long, occlusion_risk_count long, current_file string"
+OUTPUT = "run_id string, " + FIELDS
+STATE = FIELDS
+NAMES = [c.split()[0] for c in FIELDS.split(", ")]
+START = ("idle", 0, 0, 0, 0, 0, 0, 0, 0, "")
 
 
 def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Takes a batch's events in order of arrival into the run's counters."""
-    phase, processed, success, warning, failed, skipped = state.get if state.exists else ("idle", 0, 0, 0, 0, 0)
+    """Takes a batch's events in order of arrival into the run's counters; a run that has gone quiet is let go."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    run = dict(zip(NAMES, state.get if state.exists else START))
+    has = lambda v: v is not None and not pd.isna(v)
+    whole = lambda v: int(v) if has(v) else 0
     rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
     for e in rows.itertuples(index=False):
+        warned = has(e.warning) and bool(e.warning)
         if e.type == "scan_plan":
-            skipped = int(e.unchanged or 0)
+            run["total_to_process"], run["skipped"] = whole(e.filesToProcess), whole(e.unchanged)
         elif e.type == "file_started":
-            phase = "running"
+            run["phase"], run["current_file"] = "running", e.relativePath
         elif e.type == "file_completed":
-            warned = bool(e.warning) and not pd.isna(e.warning)
-            processed, success, warning = processed + 1, success + (not warned), warning + warned
+            run["processed"] += 1
+            run["warning" if warned else "success"] += 1
+            run["fallback_count"] += not (has(e.documentDetected) and bool(e.documentDetected))
+            run["occlusion_risk_count"] += warned and "OCCLUSION_RISK" in [w.strip() for w in e.warning.split(",")]
         elif e.type == "file_failed":
-            processed, failed = processed + 1, failed + 1
+            run["processed"] += 1
+            run["failed"] += 1
         elif e.type == "scan_completed":
-            whole = lambda v: 0 if pd.isna(v) else int(v)
-            phase, processed = "completed", max(processed, whole(e.totalProcessed))
-            success, warning, failed, skipped = map(whole, (e.success, e.warningCount, e.failed, e.skipped))
-    state.update((phase, processed, success, warning, failed, skipped))
-    yield pd.DataFrame([(key[0], phase, processed, success, warning, failed, skipped)], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            run |= {"phase": "completed", "processed": max(run["processed"], whole(e.totalProcessed)), "success": whole(e.success), "warning": whole(e.warningCount), "failed": whole(e.failed), "current_file": ""}
+            run["skipped"] = whole(e.skipped) if has(e.skipped) else run["skipped"]
+            run["occlusion_risk_count"] = whole(e.occlusionRiskCount) if has(e.occlusionRiskCount) else run["occlusion_risk_count"]
+    state.update(tuple(run.values()))
+    state.setTimeoutDuration(int(KEPT_MS))
+    yield pd.DataFrame([(key[0], *run.values())], columns=["run_id", *NAMES])
+
+
+#: A run's state goes when no event of it has come for so long.
+KEPT_MS = 7 * 24 * 3600 * 1000
 
 
 def run_states(stream: DataFrame) -> DataFrame:
-    """The state of each run after each batch that touches it (update mode)."""
-    return stream.groupBy("run_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """The state of each run after each batch that touches it (update mode), with the fields of the batch form."""
+    return stream.groupBy("run_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, width: str = "10 minutes") -> DataFrame:

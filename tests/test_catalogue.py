@@ -33,7 +33,7 @@ def test_runs(spark, name):
 
 
 def test_edge_segments_of_all_images(spark):
-    """The SQL of this query stops at image 499, so images on both sides of that are compared with plain loops."""
+    """Images far from each other are compared with plain loops."""
     box = [(150.0, 120.0), (850.0, 130.0), (840.0, 680.0), (150.0, 690.0)]
     images = (3, 499, 500, 501, 1999, 70_000)
     lines = [(k, 100.0 + 37 * k, 90.0 + 53 * k % 640, 100.0 + 37 * k + dx, 90.0 + 53 * k % 640 + dy) for k, (dx, dy) in enumerate([(300.0, 10.0), (5.0, 250.0), (200.0, 190.0), (-280.0, 20.0), (12.0, -300.0), (400.0, 60.0), (-8.0, 330.0), (90.0, 5.0)] * 2, 1)]

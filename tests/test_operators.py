@@ -172,8 +172,35 @@ def test_streaming_fold_equals_batch(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    got = {r.run_id: (r.phase, r.processed, r.success, r.warning, r.failed, r.skipped) for r in spark.table("folded").collect()}
-    assert got == {f"r{r}": ("completed", 2, 1, 1, 0, 4) for r in range(3)}
+    got = {r.run_id: r.asDict() for r in spark.table("folded").collect()}
+    events = E.lenient(spark.createDataFrame(rows, "run_id string, seq long, value string")) if False else E.decoded(spark.createDataFrame(rows, "run_id string, seq long, value string"), keep=("run_id", "seq")).where("problem is null")
+    want = {r.run_id: r.asDict() for r in E.run_state(events).collect()}
+    assert got == want and {(r["phase"], r["processed"], r["success"], r["warning"], r["failed"], r["skipped"]) for r in got.values()} == {("completed", 2, 1, 1, 0, 4)}
+
+
+def test_streaming_fold_takes_nulls_and_refuses_what_the_batch_refuses(spark, tmp_path):
+    """A plan without counts doesn't end the stream, and events without a path or with wrong counters are left out."""
+    from leafplan.streaming.fold import event_stream, run_states
+
+    head = '{"protocolVersion":1,"timestamp":"2024-01-05T10:00:0%d",'
+    lines = [
+        (head % 0).replace(':00"', ':00Z"') + '"type":"scan_plan","unchanged":null,"filesToProcess":0}',
+        (head % 1).replace(':01"', ':01Z"') + '"type":"scan_plan","filesToProcess":9,"new":1}',
+        (head % 2).replace(':02"', ':02Z"') + '"type":"file_completed","documentDetected":null,"warning":"OCCLUSION_RISK"}',
+        (head % 3).replace(':03"', ':03Z"') + '"type":"file_started","relativePath":"a/1.jpg","index":1}',
+        (head % 4).replace(':04"', ':04Z"') + '"type":"file_completed","relativePath":"a/1.jpg","documentDetected":null,"warning":"OCCLUSION_RISK"}',
+    ]
+    df = spark.createDataFrame([("r", k, v) for k, v in enumerate(lines)], "run_id string, seq long, value string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = run_states(event_stream(stream)).writeStream.outputMode("update").format("memory").queryName("nulls").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.table("nulls").first()
+    want = E.run_state(E.decoded(df, keep=("run_id", "seq")).where("problem is null")).first()
+    assert got.asDict() == want.asDict() and (got.phase, got.processed, got.warning, got.occlusion_risk_count, got.fallback_count, got.current_file) == ("running", 1, 1, 1, 1, "a/1.jpg")
 
 
 def test_greedy_is_independent_of_partitions(spark):
