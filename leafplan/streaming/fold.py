@@ -63,17 +63,18 @@ def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
             run["skipped"] = whole(e.skipped) if has(e.skipped) else run["skipped"]
             run["occlusion_risk_count"] = whole(e.occlusionRiskCount) if has(e.occlusionRiskCount) else run["occlusion_risk_count"]
     state.update(tuple(run.values()))
-    state.setTimeoutDuration(int(KEPT_MS))
+    latest = max(int(rows["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+    state.setTimeoutTimestamp(latest + KEPT_MS)
     yield pd.DataFrame([(key[0], *run.values())], columns=["run_id", *NAMES])
 
 
-#: A run's state goes when no event of it has come for so long.
+#: A run's state goes when the watermark is so far past its last event.
 KEPT_MS = 7 * 24 * 3600 * 1000
 
 
 def run_states(stream: DataFrame) -> DataFrame:
     """The state of each run after each batch that touches it (update mode), with the fields of the batch form."""
-    return stream.groupBy("run_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("run_id").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, width: str = "10 minutes") -> DataFrame:
