@@ -103,6 +103,35 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def freeing(run):
+    """``run`` (a function of Arrow batches), after which the worker gives freed memory back to the system.
+
+    Workers outlive their tasks and serve other stages: what one stage has freed
+    must not count against the next.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return wrapped
+
+
+def free_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc alone has it
+        trim(0)
+
+
 def append_columns(df: DataFrame, fields: str, make, uses: tuple[str, ...] = ("text",), carry: list[str] | None = None, rows_at_once: int = 1 << 30) -> DataFrame:
     """``df`` with columns that Python computes from Arrow batches.
 
@@ -133,7 +162,7 @@ def append_columns(df: DataFrame, fields: str, make, uses: tuple[str, ...] = ("t
                 made = [x.cast(out.field(len(keep) + i).type) if isinstance(x, pa.Array) else pa.array(x, type=out.field(len(keep) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=out.names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(freeing(run), schema)
 
 
 def pieces_of(texts: list, limit: int):

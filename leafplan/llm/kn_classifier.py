@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, hash_bits, pieces_of, quoted, stored
+from .common import discard, freeing, hash_bits, pieces_of, quoted, stored
 
 ORDER, CLASS_BITS = 5, 6
 CLASSES = 1 << CLASS_BITS
@@ -179,7 +179,7 @@ def train(trusted: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, Low]:
                 grams, n = np.unique(grams_of([t.encode() for t in texts[a:b]])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n, pa.int64())], names=["gram", "n"])
 
-    table = stored(trusted.select(F.coalesce(quoted("text").cast("string"), F.lit("")).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    table = stored(trusted.select(F.coalesce(quoted("text").cast("string"), F.lit("")).alias("text")).mapInArrow(freeing(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     # Each order is made once, from the one above it; they shrink, and orders 2 and 1 are tiny.
     levels = {ORDER: table}
     for order in range(ORDER - 1, 0, -1):
@@ -210,7 +210,7 @@ def train(trusted: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, Low]:
 
     # A shard's grams meet in one task; there are as many tasks as the session's shuffles have.
     placed = table.select("gram", "n", _shard_column(F.col("gram"), shards).alias("shard")).repartition("shard").select("gram", "n")
-    return stored(placed.mapInArrow(pack, "shard int, load binary"), "counts"), low
+    return stored(placed.mapInArrow(freeing(pack), "shard int, load binary"), "counts"), low
 
 
 def _shard_column(gram, shards: int):
@@ -247,7 +247,7 @@ def score(docs: DataFrame, counts: DataFrame, low: Low, shards: int = SHARDS) ->
                 )
 
     # Both uses of the blocks read this one shuffle.
-    blocks = rows.mapInArrow(pack, "block string, doc_id array<long>, lang array<string>, text_key array<long>, size array<long>, body binary").repartition("block")
+    blocks = rows.mapInArrow(freeing(pack), "block string, doc_id array<long>, lang array<string>, text_key array<long>, size array<long>, body binary").repartition("block")
 
     def texts_of(batch, k):
         import zstandard
@@ -268,7 +268,7 @@ def score(docs: DataFrame, counts: DataFrame, low: Low, shards: int = SHARDS) ->
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(found)), pa.array([s for s, _ in found], pa.int32()), pa.array([x for _, x in found])], names=["block", "shard", "load"])
 
     copies = max(1, -(-docs.count() // ROWS_A_COPY))
-    asked = blocks.mapInArrow(ask, "block string, shard int, load binary").select("shard", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("turn"), "block", "load")
+    asked = blocks.mapInArrow(freeing(ask), "block string, shard int, load binary").select("shard", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("turn"), "block", "load")
     known = counts.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("turn"), F.lit("").alias("block"), "load")
     meeting = asked.unionByName(known).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "turn")
 
@@ -294,7 +294,7 @@ def score(docs: DataFrame, counts: DataFrame, low: Low, shards: int = SHARDS) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.binary()))], names=["block", "shard", "load"])
 
     # A row for each shard and block at most: what a block gets is bounded by its own size.
-    answers = meeting.mapInArrow(answer, "block string, shard int, load binary").groupBy("block").agg(F.collect_list(F.struct("shard", "load")).alias("answers"))
+    answers = meeting.mapInArrow(freeing(answer), "block string, shard int, load binary").groupBy("block").agg(F.collect_list(F.struct("shard", "load")).alias("answers"))
 
     def finish(batches):
         import pyarrow as pa
@@ -316,7 +316,7 @@ def score(docs: DataFrame, counts: DataFrame, low: Low, shards: int = SHARDS) ->
                     names=["doc_id", "lang", "text_key", "n_bytes", "log_perplexity"],
                 )
 
-    return blocks.join(answers, "block", "left").mapInArrow(finish, "doc_id long, lang string, text_key long, n_bytes long, log_perplexity double")
+    return blocks.join(answers, "block", "left").mapInArrow(freeing(finish), "doc_id long, lang string, text_key long, n_bytes long, log_perplexity double")
 
 
 def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import append_columns, filesystem, new_folder, quoted
+from .common import append_columns, filesystem, freeing, new_folder, quoted
 
 WIDTH = 192
 MAGIC = b"LPARCH02"
@@ -156,7 +156,7 @@ def write_archives(docs: DataFrame, folder: str | None = None, *, archive_bytes:
         if out is not None:
             yield close()
 
-    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text")).mapInArrow(run, "path string, bytes long, members long").collect()
+    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text")).mapInArrow(freeing(run), "path string, bytes long, members long").collect()
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/_members") as out:

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, discard, quoted, stored
+from .common import append_columns, discard, freeing, quoted, stored
 
 BANDS, ROWS = 48, 7
 #: Minima (8 bits each) that the signature check compares, and the agreement that it asks for:
@@ -41,7 +41,7 @@ SIGNATURE, AGREEMENT = 256, 0.675
 THRESHOLD, WIDTH = 80, 5
 #: Nodes that one task compares with a hub, and nodes in a block of the search in full.
 HUB_SHARE, BLOCK = 2_000, 4_000
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 100_000
 #: Documents that a task turns into features at once.
 BATCH_ROWS = 512
 #: Documents for each file of a table of pairs, nodes or links.
@@ -201,7 +201,7 @@ def _passing(pairs: DataFrame, payload: DataFrame, prepare, test) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["hub", "node"])
 
-    return rows.mapInArrow(run, "hub long, node long")
+    return rows.mapInArrow(freeing(run), "hub long, node long")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, files: int) -> DataFrame:
@@ -283,7 +283,7 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame, wi
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.int64()) for k in key] + [pa.array(np.array(nodes)[at]), pa.array(component[at])], names=[*order, "node", "component"])
 
-    close = stored(given.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(near, "key long, i long, j long, node long, component long"), "close", files)
+    close = stored(given.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(freeing(near), "key long, i long, j long, node long, component long"), "close", files)
     bodies = close.join(rows.select(F.col("rid").alias("node"), "sig", "bands", "body").hint("merge"), "node").select(*order, "node", "component", "sig", "bands", "body")
 
     def confirm(batches):
@@ -315,7 +315,7 @@ def _hidden_links(buckets: DataFrame, components: DataFrame, rows: DataFrame, wi
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["hub", "node"])
 
-    links = stored(bodies.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(confirm, "hub long, node long"), "hidden", files)
+    links = stored(bodies.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(freeing(confirm), "hub long, node long"), "hidden", files)
     discard(close)
     return links
 

@@ -27,9 +27,9 @@ MARK = "▁"
 NEVER = (float("inf"), 0)
 #: Characters of text that are encoded together, and of new units that are indexed together: an index
 #: takes some hundred times as many bytes. A longer unit is indexed and relaxed in windows of so many bytes.
-BATCH_CHARS, INDEXED_CHARS, WINDOW = 2_000_000, 300_000, 1 << 15
+BATCH_CHARS, INDEXED_CHARS, WINDOW = 1_000_000, 200_000, 1 << 15
 #: Units whose ids a worker remembers, in each of two generations, before the older one goes; longer ones are forgotten.
-REMEMBERED_UNITS, REMEMBERED_CHARS = 300_000, 256
+REMEMBERED_UNITS, REMEMBERED_CHARS = 150_000, 256
 #: Pairs of pieces whose verdict a worker remembers, as a power of 2.
 PAIR_BITS = 20
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, byte_slices, filesystem, new_folder, quoted, stored
+from .common import ASCII_SPACE, byte_slices, filesystem, freeing, new_folder, quoted, stored
 
 MAGIC = 0x31304B4E524C50
 #: log2 of the sum of a table's frequencies, and the least state of a coder.
@@ -427,7 +427,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
         if held:
             yield flush()
 
-    files = stored(dealt.mapInArrow(run, "path string, part int, seq int, n_ids long, n_docs long, n_blocks int"), "files", 2)
+    files = stored(dealt.mapInArrow(freeing(run), "path string, part int, seq int, n_ids long, n_docs long, n_blocks int"), "files", 2)
     sums, before = [], 0
     for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
         sums.append((r["part"], before))
@@ -461,4 +461,4 @@ def read_token_files(files: DataFrame, *, with_ids: bool = True, blocks_a_task:
                             arrays.append(pa.array([x.astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
                         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
 
-    return ranges.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return ranges.mapInArrow(freeing(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
