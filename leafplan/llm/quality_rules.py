@@ -15,6 +15,7 @@ import re
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -100,7 +101,11 @@ def _upper(word: bytes) -> bool:
 
 
 def _uppercase(doc: Text) -> bool:
-    return sum(map(_upper, doc.words)) > 0.3 * len(doc.words)
+    words = list(filter(bytes.isupper, doc.words))
+    if not doc.text.isascii():
+        # Words beyond ASCII may be upper-case without a letter of it.
+        words += [w for w in doc.words if not w.isascii() and not w.isupper() and w == w.upper()]
+    return sum(map(_upper, words)) > 0.3 * len(doc.words)
 
 
 def _stutters(doc: Text) -> bool:
@@ -109,7 +114,8 @@ def _stutters(doc: Text) -> bool:
 
 def _wordless(doc: Text) -> bool:
     """Words without a letter (class L)."""
-    return sum(_ASCII_LETTER.search(w) is None and (w.isascii() or not any(map(str.isalpha, w.decode()))) for w in doc.words) > 0.7 * len(doc.words)
+    rest = filterfalse(bytes.isalpha, doc.words)
+    return sum(_ASCII_LETTER.search(w) is None and (w.isascii() or not any(map(str.isalpha, w.decode()))) for w in rest) > 0.7 * len(doc.words)
 
 
 #: The rules that documents must pass besides the base.
