@@ -63,6 +63,14 @@ def unit(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """``value`` rounded as DuckDB rounds doubles: multiplied first, then halves away from 0.
+
+    Spark's own ``round`` goes by the shortest decimal text, which may say half where the product is just off it.
+    """
+    return F.round(value * 10.0**places) / 10.0**places
+
+
 def quad_signed_area(p: Column) -> Column:
     c = [corner(p, i) for i in QUAD]
     return total([c[i][0] * c[(i + 1) % 4][1] - c[(i + 1) % 4][0] * c[i][1] for i in QUAD]) / 2

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafplan.functions.geometry import unit
+from leafplan.functions.geometry import rounded, unit
 
 # The component weights and source reliabilities of the scoring policy.
 WEIGHTS = {"mask_iou": 0.4, "mask_coverage": 0.05, "mask_confidence": 0.1, "edge_support": 0.1, "geometry": 0.15, "convexity": 0.05, "border": 0.05, "aspect": 0.05, "source_reliability": 0.1}
@@ -43,20 +44,44 @@ class ScoringPolicy:
         if sum(self.weights.values()) <= 0 or any(not 0 <= v <= 1 for v in [*self.weights.values(), *self.reliability.values()]):
             raise ValueError("weights and reliabilities must lie in [0, 1], and a weight must be positive")
 
+    @property
+    def total(self) -> float:
+        """The sum of the weights, added as decimals."""
+        return float(sum(map(_decimal, self.weights.values())))
+
+
+def _decimal(x: float) -> Decimal:
+    return Decimal(str(x))
+
 
 @dataclass(frozen=True)
 class Part:
-    """A component of a score: its value, and the neutral one where there is none."""
+    """A component of a score: its value, and the neutral one where there is none.
+
+    One that takes only a few values has them in ``fixed``, each with its
+    condition; where none holds, the neutral one.
+    """
 
     value: Column
     neutral: float
     policy: str
     missing: str | None = None
+    fixed: tuple[tuple[Column, float], ...] = ()
 
     @property
     def known(self) -> Column:
         return F.coalesce(self.value, F.lit(self.neutral))
 
+    def weighted(self, weight: float) -> Column:
+        """The known value times ``weight``; two constants are multiplied as decimals, as in SQL: 0.05 times 0.8 is 0.04."""
+        if not self.fixed:
+            return self.known * weight
+        product = lambda x: F.lit(float(_decimal(weight) * _decimal(x)))
+        out = product(self.neutral)
+        for condition, value in reversed(self.fixed):
+            out = F.when(condition, product(value)).otherwise(out)
+        return out
+
 
 def _clipped(name: str) -> Column:
     """A column between 0 and 1, null where it is null."""
@@ -65,9 +90,11 @@ def _clipped(name: str) -> Column:
 
 def components(policy: ScoringPolicy, columns: list[str]) -> dict[str, Part]:
     """The components of a candidate's score, of what ``columns`` it has."""
-    trust = F.lit(0.5)
-    for source, value in policy.reliability.items():
-        trust = F.when(F.col("source") == source, F.lit(value)).otherwise(trust)
+    contact = ((F.col("border_contact"), policy.border_touch), (~F.col("border_contact"), 1.0))
+    trust = tuple((F.col("source") == source, value) for source, value in policy.reliability.items())
+    known = F.lit(0.5)
+    for condition, value in trust:
+        known = F.when(condition, F.lit(value)).otherwise(known)
     hint = policy.aspect_hint
     aspect = F.lit(None).cast("double") if hint is None else unit(1.0 - F.abs(F.col("aspect_ratio") - hint) / hint)
     return {
@@ -77,9 +104,9 @@ def components(policy: ScoringPolicy, columns: list[str]) -> dict[str, Part]:
         "edge_support": Part(F.col("edge_support"), policy.neutral_edge, "edge_support"),
         "geometry": Part(F.col("geometry_quality"), 0.0, "geometry_gate_quality"),
         "convexity": Part(F.coalesce(_clipped("convex"), F.lit(1.0)) if "convex" in columns else F.lit(1.0), 0.0, "convexity"),
-        "border": Part(F.when(F.col("border_contact"), policy.border_touch).when(~F.col("border_contact"), 1.0), 1.0, "border_touch_allowed", "border_not_reported"),
+        "border": Part(F.when(*contact[0]).when(*contact[1]), 1.0, "border_touch_allowed", "border_not_reported", contact),
         "aspect": Part(aspect, policy.neutral_aspect, "soft_aspect_hint"),
-        "source_reliability": Part(trust, 0.5, "source_reliability"),
+        "source_reliability": Part(known, 0.5, "source_reliability", fixed=trust),
     }
 
 
@@ -93,19 +120,21 @@ def _penalty_and_bonus(policy: ScoringPolicy) -> tuple[Column, Column, Column]:
 
 
 def final_score(policy: ScoringPolicy, columns: list[str]) -> Column:
-    """The score of a candidate under ``policy``."""
-    total = sum(policy.weights.values())
+    """The score of a candidate under ``policy``.
+
+    The parts are added in order and divided by the sum of the weights once, so that the last bit is that of the SQL.
+    """
     score = None
     for name, part in components(policy, columns).items():
-        one = part.known * (policy.weights[name] / total)
+        one = part.weighted(policy.weights[name])
         score = one if score is None else score + one
     _, penalty, bonus = _penalty_and_bonus(policy)
-    return unit(score - penalty + bonus)
+    return unit(score / policy.total - penalty + bonus)
 
 
 def breakdown(policy: ScoringPolicy, columns: list[str]) -> Column:
     """Map of component to ``value, weight, normalized_weight, contribution, applicable, policy``."""
-    total = sum(policy.weights.values())
+    total = policy.total
 
     def entry(value: Column, weight: float, share: float, contribution: Column, applicable: Column, text: Column) -> Column:
         return F.struct(value.cast("double").alias("value"), F.lit(float(weight)).alias("weight"), F.lit(float(share)).alias("normalized_weight"), contribution.cast("double").alias("contribution"), applicable.alias("applicable"), text.alias("policy"))
@@ -144,10 +173,10 @@ def with_scores(candidates: DataFrame, policy: Policies | None = None, *, explai
 
 
 def ranked(candidates: DataFrame, policy: Policies | None = None, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Adds ``final_score`` and ``rank``; ties go by coverage, geometry, source and id."""
+    """Adds ``final_score`` and ``rank``; scores equal to nine places are ties and go by coverage, geometry, source and id."""
     policy = policy or ScoringPolicy()
     coverage = F.coalesce(_clipped("mask_coverage"), _under(policy, lambda p: F.lit(p.neutral_mask)))
-    order = W.partitionBy(*by).orderBy(F.desc("final_score"), coverage.desc(), F.desc("geometry_quality"), "source", "candidate_id")
+    order = W.partitionBy(*by).orderBy(rounded(F.col("final_score"), 9).desc(), coverage.desc(), F.desc("geometry_quality"), "source", "candidate_id")
     return with_scores(candidates, policy).withColumn("rank", F.row_number().over(order))
 
 

@@ -282,7 +282,7 @@ _SCORE = """WITH b AS (SELECT *, 0.4 * coalesce(mask_quad_iou, 0.5) + 0.05 * CAS
 @query("v_candidates", sql=_SCORE + " SELECT image_id, candidate_id, round(final_score, 6) AS final_score, CASE WHEN rank <= 3 THEN rank END AS top_rank FROM r")
 def candidate_ranking(candidates):
     rows = R.ranked(candidates)
-    return rows.select("image_id", "candidate_id", *r6("final_score"), F.when(F.col("rank") <= 3, F.col("rank").cast("long")).alias("top_rank"))
+    return rows.select("image_id", "candidate_id", G.rounded(F.col("final_score"), 6).alias("final_score"), F.when(F.col("rank") <= 3, F.col("rank").cast("long")).alias("top_rank"))
 
 
 def _decision_sql(margin: float, least: float) -> str:
