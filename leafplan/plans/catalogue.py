@@ -298,7 +298,7 @@ def _decision_sql(margin: float, least: float) -> str:
 
 @query("v_candidates", sql=_decision_sql(0.03, 0.55))
 def candidate_decisions(candidates):
-    return R.decisions(candidates).select("image_id", "status", F.col("selected_candidate_id").cast("long").alias("selected_candidate_id"), *r6("top_score"))
+    return R.decisions(candidates).select("image_id", "status", F.col("selected_candidate_id").cast("long").alias("selected_candidate_id"), G.rounded(F.col("top_score"), 6).alias("top_score"))
 
 
 @query("v_candidates", sql="""WITH s AS (SELECT *, round(least(1.0, greatest(0.0, 0.45 * geometry_quality + 0.4 * coalesce(mask_quad_iou, 0) + 0.1 * coalesce(edge_support, 0) + 0.05 * coalesce(mask_coverage, 1))) + 1e-8, 6) AS pool_score FROM v_candidates)
@@ -347,7 +347,7 @@ def candidate_breakdown(candidates):
 @query("v_candidates", sql=" UNION ALL ".join(f"SELECT '{name}' AS policy, * FROM ({_decision_sql(margin, least)})" for name, margin, least in (("default", 0.03, 0.55), ("wide", 0.06, 0.55), ("strict", 0.03, 0.7))))
 def candidate_sweep(candidates):
     found = R.sweep(candidates, {"default": R.ScoringPolicy(), "wide": R.ScoringPolicy(margin=0.06), "strict": R.ScoringPolicy(minimum_score=0.7)})
-    return found.select("policy", "image_id", "status", F.col("selected_candidate_id").cast("long").alias("selected_candidate_id"), *r6("top_score"))
+    return found.select("policy", "image_id", "status", F.col("selected_candidate_id").cast("long").alias("selected_candidate_id"), G.rounded(F.col("top_score"), 6).alias("top_score"))
 
 
 # -- evaluation ----------------------------------------------------------------

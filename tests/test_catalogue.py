@@ -60,6 +60,9 @@ def close_scores(tmp_path_factory):
     """A folder with line items whose scores are halves of the sixth place, or ties of which a sum of doubles may be a bit off."""
     rows = [(k, 100 + k % 3, 7, j, q, price, discount, tax, "A", line) for k, (q, price, d, line) in enumerate((q, price, d, line) for q in (7.0, 13.0, 22.0, 31.0, 46.0) for price in (901.37, 20498.16, 97659.1) for d in range(10) for line in "FO") for j, discount, tax in ((1, round(d / 100 + 0.01, 2), 0.0), (2, d / 100, 0.08))]
     rows += [(1000, 48048, 2900, 4, 14.0, 20498.16, 0.1, 0.03, "R", "O"), (1001, 46560, 2904, 6, 37.0, 62295.96, 0.06, 0.08, "A", "O"), (1002, 6560, 904, 6, 37.0, 62295.96, 0.06, 0.08, "A", "O")]
+    # Halves in the product alone, not in the decimal text, and two candidates right at the wide margin.
+    rows += [(1003, 622560, 31872, 2, 15.0, 21814.95, 0.05, 0.02, "A", "O"), (1004, 159048, 45984, 6, 20.0, 991.76, 0.05, 0.03, "N", "O")]
+    rows += [(1005, 572817, 12907, 3, 16.0, 42272.57, 0.03, 0.05, "N", "F"), (1005, 197610, 56209, 5, 33.0, 14122.57, 0.06, 0.02, "A", "F")]
     names = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus".split()
     folder = tmp_path_factory.mktemp("close")
     pq.write_table(pa.table({**{n: list(v) for n, v in zip(names, zip(*rows))}, "l_shipdate": [datetime(1997, 10, 6)] * len(rows)}), folder / "lineitem.parquet")
@@ -76,3 +79,8 @@ def same_to_the_bit(spark, folder, name):
 
 def test_ranking_of_close_scores(spark, close_scores):
     same_to_the_bit(spark, close_scores, "candidate_ranking")
+
+
+@pytest.mark.parametrize("name", ["candidate_sweep", "candidate_decisions"])
+def test_decisions_of_close_scores(spark, close_scores, name):
+    same_to_the_bit(spark, close_scores, name)
